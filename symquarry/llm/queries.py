@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .sharding import op4_ring_shards
 from .simhash import op3_simhash
+from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_ring_shards": op4_ring_shards,
+    "op5_warc": op5_warc,
+}
+ORACLES: dict[str, str] = {
+    "op5_warc": OP5_SQL,
 }
-ORACLES: dict[str, str] = {}
