@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .secret_scan import op10_secret_scan
 from .sharding import op4_ring_shards
 from .simhash import op3_simhash
 from .warc import OP5_SQL, op5_warc
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_ring_shards": op4_ring_shards,
     "op5_warc": op5_warc,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
