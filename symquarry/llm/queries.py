@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .secret_scan import op10_secret_scan
 from .sharding import op4_ring_shards
 from .simhash import op3_simhash
+from .toxicity import op9_toxicity
 from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_ring_shards": op4_ring_shards,
     "op5_warc": op5_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
