@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality import op2_quality
 from .secret_scan import op10_secret_scan
 from .sharding import op4_ring_shards
 from .simhash import op3_simhash
@@ -13,6 +14,7 @@ from .toxicity import op9_toxicity
 from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_ring_shards": op4_ring_shards,
     "op5_warc": op5_warc,
