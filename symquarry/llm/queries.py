@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op1_decontamination
 from .quality import op2_quality
 from .secret_scan import op10_secret_scan
 from .sharding import op4_ring_shards
@@ -14,6 +15,7 @@ from .toxicity import op9_toxicity
 from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_ring_shards": op4_ring_shards,
