@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op1_decontamination
+from .packing import op8_packing
 from .quality import op2_quality
 from .secret_scan import op10_secret_scan
 from .sharding import op4_ring_shards
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_ring_shards": op4_ring_shards,
     "op5_warc": op5_warc,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
