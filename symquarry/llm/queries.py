@@ -12,6 +12,7 @@ from .quality import op2_quality
 from .secret_scan import op10_secret_scan
 from .sharding import op4_ring_shards
 from .simhash import op3_simhash
+from .suffix_tree import op6_suffix_tree
 from .toxicity import op9_toxicity
 from .warc import OP5_SQL, op5_warc
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_ring_shards": op4_ring_shards,
     "op5_warc": op5_warc,
+    "op6_suffix_tree": op6_suffix_tree,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,

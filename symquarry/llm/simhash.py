@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import new_path, written
+from .common import written
 from .components import connected_components
 
 SHINGLE = 3
@@ -49,17 +50,24 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) of every whole text."""
+def with_fingerprints(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with fp, the fingerprint of the whole text, and uid, a number of the row; without the text where it isn't needed again."""
+    where = docs.columns.index(text)
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != where]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("fp", T.LongType()), T.StructField("uid", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            fps = [fingerprint(t) if t else 0 for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t) if t else 0 for t in b.column(where).cast(pa.string()).cast(pa.binary()).to_pylist()]
+            new = [pa.array(fps, pa.int64()), pa.array(range(uid, uid + len(fps)), pa.int64())]
+            uid += len(fps)
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), *new], schema.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, schema)
 
 
 def links(fps: DataFrame, bits: int = 64) -> DataFrame:
@@ -77,23 +85,39 @@ def links(fps: DataFrame, bits: int = 64) -> DataFrame:
     return pairs.where(F.expr("bit_count(u ^ v) <= 2"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row for each row of docs."""
-    spark = docs.sparkSession
-    prints = written(with_fingerprints(docs, text, id_col), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+def classes(prints: DataFrame, first) -> tuple[DataFrame, DataFrame]:
+    """(fp, label) of every distinct fingerprint, and (label, lead) with the smallest `first` of each component.
+
+    Both are written tables, so that in joins with them the partitions of a fingerprint or label that a third of
+    the rows share can be split.
+    """
+    distinct = written(prints.groupBy("fp").agg(F.min(first).alias("first")), "simhash-distinct")
     labels = connected_components(links(distinct.select("fp")))
-    placed = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    placed = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     placed = written(placed, "simhash-placed")
-    smallest = written(placed.groupBy("label").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
-    # both joins read written tables, so that the partitions of a fingerprint or label shared by a third of the rows can be split
-    classes = written(placed.select("fp", "label").join(smallest, "label").select("fp", "component_id"), "simhash-classes", new_path(spark, "classes"))
-    return prints.join(classes, "fp").select(
+    return placed.select("fp", "label"), written(placed.groupBy("label").agg(F.min("first").alias("lead")), "simhash-leads")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row for each row of docs."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    prints = written(with_fingerprints(slim, keep_text=False), "simhash")
+    placed, leads = classes(prints, F.col("doc_id"))
+    joined = written(placed.join(leads, "label").select("fp", F.col("lead").alias("component_id")), "simhash-classes")
+    return prints.join(joined, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 
+def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of each component: that with the smallest id (null ids last, then any one of equal ids)."""
+    tagged = written(with_fingerprints(docs, text), "simhash-docs")
+    first = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("uid").alias("uid"))
+    _, leads = classes(tagged.select(id_col, "fp", "uid"), first)
+    return tagged.join(leads.select(F.col("lead.uid").alias("uid")), "uid", "left_semi").drop("fp", "uid")
+
+
 def op3_simhash(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
