@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op1_decontamination
 from .packing import op8_packing
 from .quality import op2_quality
+from .search import op7_search
 from .secret_scan import op10_secret_scan
 from .sharding import op4_ring_shards
 from .simhash import op3_simhash
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ring_shards": op4_ring_shards,
     "op5_warc": op5_warc,
     "op6_suffix_tree": op6_suffix_tree,
+    "op7_search": op7_search,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
