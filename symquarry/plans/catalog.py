@@ -420,7 +420,7 @@ itm{n + 1} AS (SELECT * FROM itm{n} UNION ALL SELECT (SELECT max(seq) FROM itm{n
 
 def levels(spark, sf_dir, level: int) -> DataFrame:
     files = corpus.documents_as_files(spark, sf_dir).select("relative_path", "content")
-    items = C.context(sym(spark, sf_dir), files, LEVEL_ROOTS, budget=1 << 40, level=level)
+    items = C.context(sym(spark, sf_dir).persist(), files, LEVEL_ROOTS, budget=1 << 40, level=level, keep=lambda df: df.persist())
     return items.select("seq", "symbol_id", "level", "source_qualified_name")
 
 
