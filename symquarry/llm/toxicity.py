@@ -10,8 +10,8 @@ A word's evidence is the difference of its toxic and ordinary log-likelihoods. A
 length-normalised log-likelihoods: the mean difference per word, and the same sum over the square root of
 the word count. A few expressions in a long text move neither, so the strongest evidence of any word and of
 any LOCAL words (their mean, the text's most toxic expressions) stand beside them, with the logarithm of the
-length, from which chance maxima follow. A logistic regression, fitted on labelled rows that gave no counts,
-turns these into a score between 0 and 1.
+length, from which chance maxima follow. A logistic regression turns these into a score between 0 and 1; it is
+fitted across parts, on features of texts that gave their models no counts.
 
 Fitting reads a bounded sample: `per_class` labelled documents of each class at most. Scoring reads every
 whole text, in blocks of bounded size; the model (some MB, bounded by the sample) is broadcast.
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import fold, table
 from .labelled import class_weights, labelled_sample, logistic
 
-CONTEXT = 5
-D = 0.75
+CONTEXT = 6  # 7 at most: context and symbol share 8 bytes
+D = 0.9
 PER_CLASS = 4000
 FOLDS, HELD = 5, 0
-CALIBRATE = 1  # this fold of the labelled rows calibrates, the others give counts
+PARTS = 3
 BLOCK = 4 << 20  # bytes of text scored at once
 LOCAL = 3
 CACHE = 200_000  # words whose evidence a worker remembers
@@ -76,7 +76,7 @@ class _Sums:
         import numpy as np
 
         self.keys, where = np.unique(keys, return_inverse=True)
-        self.values = np.bincount(where, weights=values, minlength=len(self.keys))
+        self.values = np.bincount(where, weights=values, minlength=len(self.keys)).astype(np.float32)
 
     def __call__(self, keys):
         import numpy as np
@@ -180,8 +180,17 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def counted(texts: list[bytes], y, chosen) -> KneserNeyPair:
+    """Models of the chosen texts. A text counts each of its words once: what one text repeats is no evidence."""
+    classes = (Counter(), Counter())
+    for i in chosen:
+        classes[y[i]].update(set(words_of(texts[i])))
+    return KneserNeyPair(classes)
+
+
 def fit(ids, texts: list[bytes], y, counts: tuple[int, int]) -> Scorer:
-    """ids: of the labelled rows; the fold CALIBRATE of them calibrates."""
+    """Each of PARTS parts gets its features from models of the others; the regression sees them all, and the
+    scorer has models of all texts."""
     import zlib
 
     import numpy as np
@@ -190,21 +199,15 @@ def fit(ids, texts: list[bytes], y, counts: tuple[int, int]) -> Scorer:
     share = counts[1] / max(1, sum(counts))
     if not len(y) or y.min() == y.max():
         return Scorer(None, None, share)
-    part = np.array([zlib.crc32(str(i).encode()) % FOLDS == CALIBRATE for i in ids])
-    if len(set(y[part])) < 2 or len(set(y[~part])) < 2:  # too few rows to keep the parts apart
-        part[:] = True
-        train = np.ones(len(y), bool)
-    else:
-        train = ~part
-    classes = (Counter(), Counter())
-    for i in np.flatnonzero(train):
-        classes[y[i]].update(words_of(texts[i]))
-    scorer = Scorer(KneserNeyPair(classes), None, share)
-    chosen = np.flatnonzero(part)
-    f = scorer.features([texts[i] for i in chosen])
-    scorer.weights = logistic(f, y[chosen], class_weights(y[chosen], counts))
-    scorer.known = {}
-    return scorer
+    part = np.array([zlib.crc32(str(i).encode()) // FOLDS % PARTS for i in ids])
+    features = np.zeros((len(y), 5))
+    for k in range(PARTS):
+        inside, others = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        if len(set(y[others])) < 2:  # too few rows to keep the parts apart
+            others = np.arange(len(y))
+        features[inside] = Scorer(counted(texts, y, others), None, share).features([texts[i] for i in inside])
+    weights = logistic(features, y, class_weights(y, counts))
+    return Scorer(counted(texts, y, range(len(y))), weights, share)
 
 
 def with_scores(docs: DataFrame, scorer: Scorer, text: str = "text", column: str = "score") -> DataFrame:
