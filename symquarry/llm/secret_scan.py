@@ -2,13 +2,14 @@
 
 Candidates are maximal runs of [A-Za-z0-9+/_-] of at least `MIN_RUN` characters (with closing `=`). The
 encoding is inferred from the characters used: hex, base32, base36 (upper case and digits), else base64.
-Under "drawn uniformly from that alphabet" three statistics have known laws:
+Under "drawn uniformly from that alphabet" these statistics have known laws:
 
-* chi-squared uniformity over equal slices of the alphabet (4, 8 or 16 slices, by length);
+* chi-squared uniformity over equal slices of the alphabet (4, 8 or 16 slices, by length), and over its
+  classes of characters (lower case, upper case, the rest) with their own shares;
 * the Wald-Wolfowitz runs test on symbols above and below the middle of the alphabet;
 * lag-1 serial correlation of the symbols' ordinals.
 
-A run that any of them rejects at `UNIFORM_LEVEL` (Bonferroni over the three) is not random text. That
+A run that any of them rejects at `UNIFORM_LEVEL` (Bonferroni over the four) is not random text. That
 alone would let short ordinary words pass, so each run also gets a p-value under "ordinary text": words,
 paths and identifiers change between lower case, upper case, digits and signs at most every
 1 / `SWITCH_RATE` characters; the Chernoff bound on the binomial tail of the observed changes falls with
@@ -115,6 +116,15 @@ def _statistics(x: Column) -> Column:
     z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))  # Wilson and Hilferty
     p_chi = upper_tail(z_chi)
 
+    # the share of each class of characters; counts of the classes that an encoding doesn't tell apart are joined
+    of_kind = lambda k: F.size(F.filter(x["kind"], lambda v: v == k)).cast("double")
+    letters, capitals, others = of_kind(1), of_kind(2), of_kind(3) + of_kind(4)
+    off = lambda seen, share: (seen - n * share) * (seen - n * share) / (n * share)
+    digits = F.when(size == 16, 10 / 16).when(size == 32, 6 / 32).otherwise(10 / 36)
+    two = off(letters + capitals, 1 - digits) + off(others, digits)
+    three = off(letters, F.lit(26 / 64)) + off(capitals, F.lit(26 / 64)) + off(others, F.lit(12 / 64))
+    p_class = F.when(size == 64, F.exp(-three / 2)).otherwise(2 * upper_tail(F.sqrt(two)))
+
     high = F.transform(at, lambda v: v * 2 >= size)
     up = ones(high)
     down = n - up
@@ -133,41 +143,41 @@ def _statistics(x: Column) -> Column:
     entropy = part(switches, SWITCH_RATE) + part(1 - switches, 1 - SWITCH_RATE)
     nats = F.when(switches <= SWITCH_RATE, F.lit(0.0)).otherwise((n - 1) * entropy)
     return F.struct(
-        x["encoding"].alias("encoding"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p_uniform"), nats.alias("ordinary_nats")
+        x["encoding"].alias("encoding"), F.least(F.lit(1.0), 4 * F.least(p_chi, p_class, p_runs, p_serial)).alias("p_uniform"), nats.alias("ordinary_nats")
     )
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base (spans of the patterns) and runs (candidates that pass the uniformity battery, and all their nats)."""
+    """docs with __base (spans of the patterns) and __candidates (spans with the battery's results)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.concat(spans_of(t, ASSIGN, 0, ASSIGN_MIN, 2), spans_of(t, ACCESS, 1, ACCESS_MIN), spans_of(t, HEX, 2, 32))
-    marked = docs.withColumn("base", base).withColumn("candidates", spans_of(t, CANDIDATE, 3, MIN_RUN))
-    tested = F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["match"]).alias("test")))
-    return marked.withColumn("base", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).withColumn("candidates", tested)
+    marked = docs.withColumn("__base", base).withColumn("__candidates", spans_of(t, CANDIDATE, 3, MIN_RUN))
+    tested = F.transform("__candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["match"]).alias("test")))
+    return marked.withColumn("__base", F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).withColumn("__candidates", tested)
 
 
 def discovery_threshold(found: DataFrame) -> DataFrame:
-    """One row (least_nats): the Benjamini-Hochberg cut over all candidates, to the next bin; no row passes if null."""
-    nats = found.select(F.explode("candidates.test.ordinary_nats").alias("nats"))
+    """One row (__least_nats): the Benjamini-Hochberg cut over all candidates, to the next bin; no row passes if null."""
+    nats = found.select(F.explode("__candidates.test.ordinary_nats").alias("nats"))
     bins = nats.groupBy(F.least(F.floor(F.col("nats") / BIN), F.lit(LAST_BIN)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # at most LAST_BIN + 1 rows from here on
     ranked = bins.withColumn("above", F.sum("n").over(W.orderBy(F.desc("bin")))).withColumn("m", F.sum("n").over(W.partitionBy()))
     passing = F.exp(-F.col("bin") * BIN) <= F.lit(FALSE_DISCOVERY) * F.col("above") / F.col("m")
-    return ranked.where(passing).agg((F.min("bin") * BIN).alias("least_nats"))
+    return ranked.where(passing).agg((F.min("bin") * BIN).alias("__least_nats"))
 
 
 def with_secrets(docs: DataFrame, text: str = "text", name: str = "secrets") -> DataFrame:
-    """docs with secrets: array of (start, end, kind), by start and kind. docs is written once, with what was found."""
+    """docs with __secrets: array of (start, end, kind), by start and kind. docs is written once, with what was found."""
     return _judged(written(scanned(docs, text), name))
 
 
 def _judged(found: DataFrame) -> DataFrame:
     judged = found.crossJoin(F.broadcast(discovery_threshold(found)))  # one row
-    free = lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    random = F.filter("candidates", lambda c: (c["test"]["p_uniform"] >= UNIFORM_LEVEL) & (c["test"]["ordinary_nats"] >= F.col("least_nats")) & free(c))
+    free = lambda c: ~F.exists("__base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    random = F.filter("__candidates", lambda c: (c["test"]["p_uniform"] >= UNIFORM_LEVEL) & (c["test"]["ordinary_nats"] >= F.col("__least_nats")) & free(c))
     extra = F.transform(random, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(3).alias("kind")))
-    every = F.array_sort(F.concat("base", F.coalesce(extra, F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))), _by_start_and_kind)
-    return judged.withColumn("secrets", every).drop("base", "candidates", "least_nats")
+    every = F.array_sort(F.concat("__base", F.coalesce(extra, F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))), _by_start_and_kind)
+    return judged.withColumn("__secrets", every).drop("__base", "__candidates", "__least_nats")
 
 
 def _by_start_and_kind(a: Column, b: Column) -> Column:
@@ -188,9 +198,9 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
         kept = F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(kept).alias("out"))
 
-    done = F.aggregate("secrets", first, step)
+    done = F.aggregate("__secrets", first, step)
     rest = F.transform(F.array(done), lambda d: F.concat(d["out"], F.substring(t, (d["at"] + 1).cast("int"), F.char_length(t))))[0]
-    return marked.withColumn(text, F.when(F.size("secrets") > 0, rest).otherwise(t)).select(*columns)
+    return marked.withColumn(text, F.when(F.size("__secrets") > 0, rest).otherwise(t)).select(*columns)
 
 
 def secret_report(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -200,14 +210,14 @@ def secret_report(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     line = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("__secrets", lambda s: s["kind"] == k)).cast("long")
     return judged.select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(line(F.filter("secrets", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
-        line(F.col("secrets")).alias("spans"),
+        F.sha2(line(F.filter("__secrets", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        line(F.col("__secrets")).alias("spans"),
     )
 
 

@@ -51,10 +51,10 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with fp, the fingerprint of the whole text, and uid, a number of the row; without the text where it isn't needed again."""
+    """docs with __fp, the fingerprint of the whole text, and __uid, a number of the row; without the text where it isn't needed again."""
     where = docs.columns.index(text)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != where]
-    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("fp", T.LongType()), T.StructField("uid", T.LongType())])
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("__fp", T.LongType()), T.StructField("__uid", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -101,7 +101,7 @@ def classes(prints: DataFrame, first) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of docs."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = written(with_fingerprints(slim, keep_text=False), "simhash")
+    prints = written(with_fingerprints(slim, keep_text=False).select("doc_id", F.col("__fp").alias("fp")), "simhash")
     placed, leads = classes(prints, F.col("doc_id"))
     joined = written(placed.join(leads, "label").select("fp", F.col("lead").alias("component_id")), "simhash-classes")
     return prints.join(joined, "fp").select(
@@ -114,9 +114,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row of each component: that with the smallest id (null ids last, then any one of equal ids)."""
     tagged = written(with_fingerprints(docs, text), "simhash-docs")
-    first = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("uid").alias("uid"))
-    _, leads = classes(tagged.select(id_col, "fp", "uid"), first)
-    return tagged.join(leads.select(F.col("lead.uid").alias("uid")), "uid", "left_semi").drop("fp", "uid")
+    slim = tagged.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__fp").alias("fp"), F.col("__uid").alias("uid"))
+    _, leads = classes(slim, F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "uid"))
+    return tagged.join(leads.select(F.col("lead.uid").alias("__uid")), "__uid", "left_semi").select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir):
