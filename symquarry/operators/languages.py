@@ -889,7 +889,7 @@ def cs_before(walk: Walk, word: str) -> str:
 def cs_type(walk: Walk, m: re.Match) -> dict:
     bases = walk.code.partition(":")[2].partition("{")[0].split(",")
     bases = [b for b in (b.strip(SPACES).split("<")[0] for b in bases) if b]
-    return {"find": m.group(1), "base_types": bases} | cs_modifiers(cs_before(walk, m.group(1)))
+    return {"find": m.group(1), "base_types": bases, "parent_index": walk.type.symbol if walk.type else -1} | cs_modifiers(cs_before(walk, m.group(1)))
 
 
 def cs_member(walk: Walk, m: re.Match) -> None:
