@@ -37,9 +37,9 @@ D = 0.9
 PER_CLASS = 4000
 FOLDS, HELD = 5, 0
 PARTS = 3
-BLOCK = 4 << 20  # bytes of text scored at once
+BLOCK = 2 << 20  # bytes of text scored at once
 LOCAL = 3
-CACHE = 200_000  # words whose evidence a worker remembers
+CACHE = 100_000  # words whose evidence a worker remembers
 
 
 def words_of(text: bytes) -> list[bytes]:
