@@ -73,15 +73,17 @@ def explode_parameters(symbols: DataFrame, keys: list[str]) -> DataFrame:
     return symbols.select(*keys, "ordinal", F.explode("parameters").alias("p")).select(*keys, "ordinal", "p.*")
 
 
-def _line_rows(files: DataFrame, keys: list[str], path: str, content: str) -> DataFrame:
+def _line_rows(files: DataFrame, keys: list[str], content: str) -> DataFrame:
     return explode_lines(files, keys, content, offsets=False)
 
 
 def shell_lines(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """Shell symbols of line-wise rules as Column expressions: nothing leaves the JVM."""
     words = list(languages.SHELL_WORDS)
-    lines = _line_rows(files, keys, "", content)
-    code = lines.withColumn("code", T.trim(T.before_hash(F.col("text")))).where("code <> ''")
+    lines = _line_rows(files, keys, content)
+    # generators stand between the steps, so that filters are not pushed below them and nothing is matched twice
+    code = F.filter(F.array(T.trim(T.before_hash(F.col("text")))), lambda c: c != "")
+    coded = lines.select(*keys, "line_no", "text", F.explode(code).alias("code"))
     take = lambda pattern, group=1: F.regexp_extract("code", pattern, group)
     identifier = languages.ID
     rules = [
@@ -91,9 +93,9 @@ def shell_lines(files: DataFrame, keys: list[str], content: str = "content") ->
         ("shell_source", r"^(?:source|\.)\s+(.+)"),
         ("shell_command", r"^([A-Za-z_](?:[A-Za-z0-9_.\-]*[A-Za-z0-9_])?)"),  # without \b, which knows Unicode letters here
     ]
-    found = F.coalesce(*[F.when(take(p) != "", F.struct(F.lit(k).alias("kind"), T.trim(take(p)).alias("name"))) for k, p in rules])
-    rows = code.withColumn("s", found).where(F.col("s").isNotNull())
-    rows = rows.where((F.col("s.kind") != "shell_command") | ~F.col("s.name").isin(words))
+    found = F.coalesce(*[F.when(F.col("code").rlike(p), F.struct(F.lit(k).alias("kind"), T.trim(take(p)).alias("name"))) for k, p in rules])
+    kept = F.filter(F.array(found), lambda s: s.isNotNull() & ((s["kind"] != "shell_command") | ~s["name"].isin(words)))
+    rows = coded.select(*keys, "line_no", "text", "code", F.explode(kept).alias("s"))
     return rows.select(*keys, "line_no", "s.kind", "s.name", T.squeeze(F.col("code")).alias("signature"), "text")
 
 
@@ -109,7 +111,7 @@ def first_tag(c: Column) -> Column:
 
 def html_lines(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """Ids and classes of the first tag of each line."""
-    lines = _line_rows(files, keys, "", content)
+    lines = _line_rows(files, keys, content)
     rows = lines.withColumn("t", T.trim(F.col("text"))).withColumn("tag", first_tag(F.col("t"))).where("tag <> ''")
     identity = F.filter(F.array(F.struct(F.lit("html_id").alias("kind"), attribute(F.col("t"), "id").alias("name"))), lambda s: s["name"] != "")
     classes = F.filter(F.split(T.squeeze(attribute(F.col("t"), "class")), " "), lambda w: w != "")
@@ -119,7 +121,7 @@ def html_lines(files: DataFrame, keys: list[str], content: str = "content") -> D
 
 def pattern_lines(files: DataFrame, keys: list[str], rules: list[tuple[str, str, int]], content: str = "content", flags: str = "") -> DataFrame:
     """First matching (kind, pattern, group) of each trimmed line: the native path of any stateless grammar."""
-    lines = _line_rows(files, keys, "", content).withColumn("t", T.trim(F.col("text")))
+    lines = _line_rows(files, keys, content).withColumn("t", T.trim(F.col("text")))
     found = F.coalesce(
         *[F.when(F.col("t").rlike(flags + p), F.struct(F.lit(k).alias("kind"), T.trim(F.regexp_extract("t", flags + p, g)).alias("name"))) for k, p, g in rules]
     )
