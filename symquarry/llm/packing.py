@@ -11,9 +11,9 @@ different vectors and not of pieces.
 Pieces are written to the shared folder without their ids and dealt out evenly to groups of GROUP, whatever
 their documents; groups are packed independently in bounded memory, and each leaves one unfinished sequence.
 
-Ids come from a public vocabulary file. It never joins text across white space, so every distinct chunk
-between white space is encoded once per worker (remembered up to CACHE chunks) and documents are joined from
-the remembered ids; the result equals encoding the whole text.
+Ids come from a public vocabulary file. It never joins text across white space and folds case, so every
+distinct lower-cased chunk between white space is encoded once per worker (remembered up to CACHE chunks) and
+documents are joined from the remembered ids; the result equals encoding the whole text.
 
 Loss: of a plain document every token bears loss but its first, which nothing predicts.
 
@@ -23,6 +23,7 @@ tables give empty results. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -33,7 +34,10 @@ from .common import written
 TOKENS, SEGMENTS, LOSS = 4096, 256, 4096
 GRAIN, GROUP = 512, 8192
 END = 2
-CACHE = 300_000
+CACHE = 1_000_000
+BLOCK = 4 << 20
+#: A lower-cased word that ends in an ASCII letter or digit or a Latin-1 letter, and the signs after it.
+WORD_AND_SIGNS = re.compile(rb"^(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?%$#*&|()]+)$", re.S)
 VOCABULARY = "word_bpe_49k.json"
 
 PIECE = "doc_id long, start long, length long, loss long, ids_crc32 long, doc_tokens long"
@@ -46,7 +50,15 @@ def vocabulary_path() -> str:
 
 
 class ChunkEncoder:
-    """Little-endian unsigned 32-bit ids of whole texts."""
+    """Little-endian unsigned 32-bit ids of whole texts.
+
+    The vocabulary folds case, so chunks are remembered in lower case. New chunks are encoded many at a time,
+    joined by the vocabulary's own end mark, whose id then cuts the ids apart; a text that contains the start of
+    such a mark is encoded as it stands.
+    """
+
+    MARK, MARK_ID, OPENING = " <|endoftext|> ", 49407, b"<|"
+    JOINED = 256
 
     def __init__(self, path: str, cache: int = CACHE):
         import os
@@ -57,19 +69,48 @@ class ChunkEncoder:
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: bytes) -> bytes:
-        import struct
-
-        chunks = text.split()  # bytes: ASCII white space only
-        new = list(set(chunks).difference(self.known))
-        if new:
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text, in order; block by block, so that new chunks are encoded many at a time."""
+        import numpy as np
+
+        at = 0
+        while at < len(texts):
+            size, end = len(texts[at]), at + 1
+            while end < len(texts) and size + len(texts[end]) <= BLOCK:
+                size, end = size + len(texts[end]), end + 1
+            # bytes: only A-Z change, and only ASCII white space divides
+            block = [None if self.OPENING in t else t.lower().split() for t in texts[at:end]]
+            every = set().union(*(c for c in block if c is not None))
             if len(self.known) > self.cache:
-                self.known, new = {}, list(set(chunks))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for chunk, e in zip(some, self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False)):
-                    self.known[chunk] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join(map(self.known.__getitem__, chunks))
+                self.known = {}
+            self.learn(every.difference(self.known))
+            get = self.known.__getitem__
+            for text, chunks in zip(texts[at:end], block):
+                if chunks is None:
+                    yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    yield b"".join(map(get, chunks))
+            at = end
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """A letter or digit and the signs after it are always encoded apart, so words with signs behind them need no encoding of their own."""
+        split = {c: m.groups() for c in chunks if (m := WORD_AND_SIGNS.match(c))}
+        plain = chunks.difference(split).union(x for pair in split.values() for x in pair)
+        self.encode(list(plain.difference(self.known)))
+        known = self.known
+        known.update((c, known[word] + known[signs]) for c, (word, signs) in split.items())
+
+    def encode(self, chunks: list[bytes]) -> None:
+        import numpy as np
+
+        parts = [chunks[i : i + self.JOINED] for i in range(0, len(chunks), self.JOINED)]
+        texts = [self.MARK.join([c.decode() for c in part]) for part in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for chunk, end in zip(part, [*(4 * np.flatnonzero(ids == self.MARK_ID)).tolist(), len(raw)]):
+                self.known[chunk] = raw[at:end]
+                at = end + 4
 
 
 def cuts(length: int, step: int, grain: int = GRAIN) -> list[int]:
@@ -97,8 +138,9 @@ def pieces(docs: DataFrame, path: str, step: int = TOKENS, grain: int = GRAIN, t
         end = struct.pack("<I", END)
         for b in batches:
             rows: list[tuple] = []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                ids = memoryview(encode(t.as_py() or b"") + end)
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            for doc, found in zip(b.column(0).to_pylist(), encode(texts)):
+                ids = memoryview(found + end)
                 total, start = len(ids) // 4, 0
                 for n in cuts(total, step, grain):
                     rows.append((doc, start, n, n - (start == 0), crc32(ids[4 * start : 4 * (start + n)]), total))
