@@ -34,7 +34,7 @@ from .common import written
 TOKENS, SEGMENTS, LOSS = 4096, 256, 4096
 GRAIN, GROUP = 512, 8192
 END = 2
-CACHE = 1_000_000
+CACHE = 700_000
 BLOCK = 4 << 20
 #: A lower-cased word that ends in an ASCII letter or digit or a Latin-1 letter, and the signs after it.
 WORD_AND_SIGNS = re.compile(rb"^(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?%$#*&|()]+)$", re.S)
@@ -161,25 +161,31 @@ def fill(length, loss, tokens: int = TOKENS, segments: int = SEGMENTS, loss_limi
     left = np.bincount(kind, minlength=len(vector))
     members = np.argsort(kind, kind="stable")
     at = np.cumsum(left) - left  # next member of each kind
-    demand = np.stack([vector[:, 0] / tokens, np.full(len(vector), 1 / segments), vector[:, 1] / loss_limit], axis=1)
-    weighted = demand * (demand * left[:, None]).sum(axis=0) / max(1, n)
-    alive = np.flatnonzero(left)
+    demand = np.stack([vector[:, 0] / tokens, np.full(len(vector), 1 / segments), vector[:, 1] / loss_limit])
+    first, second, third = demand * (demand @ left / max(1, n))[:, None]  # weighted by the mean demand
+    need = demand.copy()  # out of reach where a kind is used up
+    need[0, left == 0] = np.inf
     sequence, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    number, room, used = 0, np.ones(3), 0
-    while len(alive):
-        fits = alive[(demand[alive] <= room + 1e-9).all(axis=1)]
-        if not len(fits):
+    number, room, used, waiting = 0, np.ones(3), 0, n
+    while waiting:
+        a, b, c = room
+        fits = (need[0] <= a + 1e-9) & (need[1] <= b + 1e-9) & (need[2] <= c + 1e-9)
+        score = np.where(fits, first * a + second * b + third * c, -1.0)
+        best = int(score.argmax())
+        if score[best] < 0:
+            if not used:
+                raise ValueError("a piece exceeds the limits of a sequence by itself")
             number, room, used = number + 1, np.ones(3), 0
             continue
-        best = fits[np.argmax(weighted[fits] @ room)]
         piece = members[at[best]]
         at[best] += 1
         left[best] -= 1
+        waiting -= 1
         sequence[piece], offset[piece] = number, used
         used += int(vector[best, 0])
-        room = room - demand[best]
+        room = room - demand[:, best]
         if not left[best]:
-            alive = alive[alive != best]
+            need[0, best] = np.inf
     return sequence, offset
 
 
