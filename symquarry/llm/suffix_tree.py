@@ -3,18 +3,23 @@
 Tokens are lower-cased words and one end per document. Counts cover every training document.
 
 * Root: P0(x) = (c + 0.5) / (N + 0.5 (V + 1)), over all training tokens.
-* Candidate contexts: up to three words, each frequent enough for its order (CONTEXT_SHARE); a document
-  starts after an end. Successors: words with a share of SUCCESSOR_SHARE at least. Both limits are shares of
-  N, so the tree is bounded whatever the corpus; its counts are not samples.
+* Candidate contexts: one to three words; a document starts after an end. Successors of a context, and so
+  contexts too, have KEEP occurrences. There is no other limit: the tree grows with the corpus.
 * A context s is retained if its successors diverge from those of its longest retained suffix s': the
   log-likelihood gain, sum of c(s, x) ln(P(x | s) / P(x | s')), must exceed half of ln c(s) for every
-  successor kept (the cost of a parameter). Kept successors have KEEP occurrences and a share of KEEP_SHARE.
+  successor kept (the cost of a parameter).
 * P(x | s) = (c(s, x) + MU P(x | s')) / (c(s) + MU) for kept x; any other x has gamma(s) P(x | s'), where
   gamma makes the distribution sum to one. Scores walk from the longest suffix state towards the root.
 
-Four passes: unigram counts; context counts; scoring of everything the broadcast vocabulary (the VOCABULARY
-most frequent words) can score, which also lists every other word; and a join of those rare words with the
-full counts. Common words never enter the join, so no key of it is hot, and no count is dropped.
+Words and word sequences (grams) are known by 64-bit hashes. The tree is a written table with a row for each
+gram: log_p of its last word after the others, log_gamma of the whole as a context. It is grown order by order:
+a gram is counted if its head and its tail have KEEP occurrences, without which it cannot have them. Bit filters
+of fixed size, one for each order, spare the shuffle most others; a wrong yes costs a row and changes nothing.
+
+Scoring deals the documents into chunks of CHUNK bytes. Each chunk lists the distinct grams that it needs once,
+these are joined with the tree, and chunk and entries meet in a cogroup. The broadcast vocabulary (the
+VOCABULARY most frequent words) gives base probabilities; rarer words get theirs by a join with the full
+counts. Common words never enter that join, so no key of it is hot, and no count is dropped.
 
 Nulls: a null text is empty: its end is scored. A null id is neither held out nor learnt from. Without any
 training document N and V are 0 and every token has probability one half of one half's base. Repeated rows
@@ -29,17 +34,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, fold, new_path, table, written
+from .common import fold, table, written
 
 FOLDS, HELD = 5, 1
 END = "\n"  # no word contains white space
 VOCABULARY = 200_000
-CONTEXT_SHARE = (1 / 1000, 1 / 200, 1 / 50)  # least share of each word of a context, by the context's order
-SUCCESSOR_SHARE = 1 / 10_000
-KEEP, KEEP_SHARE, MU = 8, 1 / 2000, 20.0
+ORDERS = 3
+KEEP, MU = 8, 20.0
 BLOCK = 4 << 20
+CHUNK = 8 << 20
 FLUSH = 400_000
-WORD = 18  # bits of a word's number
+WORD_CACHE = 500_000
+FILTER = 20  # a filter has 2 ** FILTER words of 64 bits
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -94,12 +100,15 @@ class Vocabulary:
         self.total, self.kinds = total, kinds
         self.log_denominator = np.log10(total + 0.5 * (kinds + 1))
         self.base = np.log10(self.count + 0.5) - self.log_denominator
-        share = np.array(counts, float) / max(1, total)
-        self.orders = [int((share >= s).sum()) for s in CONTEXT_SHARE]
-        self.successors = int((share >= SUCCESSOR_SHARE).sum())
+
+    def hashes(self):
+        """Hashes of all numbers; that of the other words is of no word."""
+        import numpy as np
+
+        return np.array([word_hash(w) for w in (END.encode(), *self.number, b"\n\n")], np.uint64)
 
     def encode(self, texts: list[bytes]):
-        """(word lists, numbers of all tokens with ends, tokens of each text)."""
+        """(word lists, numbers of all tokens with ends, their hashes, tokens of each text)."""
         import numpy as np
 
         get, lists = self.number.get, [words_of(t) for t in texts]
@@ -108,240 +117,375 @@ class Vocabulary:
         for words in lists:
             flat.extend([get(w, other) for w in words])
             flat.append(0)
-        return lists, np.array(flat, np.int64), np.array([len(w) + 1 for w in lists], np.int64)
+        return lists, np.array(flat, np.int64), hashed(lists), np.array([len(w) + 1 for w in lists], np.int64)
+
+
+def word_hash(word: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(word)
 
-    def contexts(self, ids):
-        """Packed candidate contexts of order 1 to 3 before each token; 0 where there is none."""
-        import numpy as np
 
-        back, found = [], []
-        for k in range(1, 4):
-            b = np.full(len(ids), -1)
-            b[k:] = ids[:-k]
-            if k <= len(b):
-                b[k - 1] = 0  # a document starts after an end
-            back.append(b)
-        valid = np.ones(len(ids), bool)
-        for order in (1, 2, 3):
-            key = np.full(len(ids), order << 56, np.int64)
-            ok = valid.copy()
-            for k in range(order):
-                w = back[k]
-                ok &= (w >= 0) & (w <= self.orders[order - 1])
-                key |= np.where(w >= 0, w, 0) << (WORD * k)
-            found.append(np.where(ok, key, 0))
-            valid &= back[order - 1] > 0  # nothing reaches beyond an end
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[word] = found = word_hash(word)
         return found
 
 
-def context_counts(docs: DataFrame, vocabulary, text: str = "text") -> DataFrame:
-    """(context, x, n): x is a successor's number, -1 for all occurrences of the context."""
+HASHES = WordHashes()
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
 
-        v = vocabulary.value
-        held = [np.zeros(0, np.int64)] * 3
+def hashed(lists: list[list[bytes]]):
+    """Hashes of all words, with an end after each list."""
+    import numpy as np
+
+    get, end = HASHES.__getitem__, word_hash(END.encode())
+    flat: list[int] = []
+    for words in lists:
+        flat.extend(map(get, words))
+        flat.append(end)
+    return np.array(flat, np.uint64)
+
+
+def grams(h, most: int):
+    """For m = 1 to most, (hashes of the m words up to each token, whether there are so many).
+
+    A gram may begin with the end before its document and stop with the document's own, but has none between.
+    """
+    import numpy as np
 
-        def add(context, x, n):
-            nonlocal held
-            c, y, m = (np.concatenate([a, b]) for a, b in zip(held, (context, x, n)))
-            order = np.lexsort((y, c))
-            c, y, m = c[order], y[order], m[order]
-            new = np.ones(len(c), bool)
-            new[1:] = (c[1:] != c[:-1]) | (y[1:] != y[:-1])
-            held = [c[new], y[new], np.add.reduceat(m, np.flatnonzero(new))] if len(c) else [c, y, m]
+    end = np.uint64(word_hash(END.encode()))
+    at = np.arange(1, len(h) + 1)
+    last = np.zeros(len(h), np.int64)  # place of the last end before each token; 0 is the start
+    last[1:] = np.maximum.accumulate(np.where(h == end, at, 0))[:-1]
+    back = at - last
+    found = [(h, np.ones(len(h), bool))]
+    for m in range(2, most + 1):
+        before = np.empty_like(h)
+        before[1:], before[:1] = found[-1][0][:-1], end
+        g = before * np.uint64(0x9E3779B97F4A7C15) + (h ^ np.uint64(m)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0xD6E8FEB86659FD93)
+        g ^= g >> np.uint64(29)
+        found.append((g, back >= m - 1))
+    return found
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in held], ["context", "x", "n"])
 
+def before(a, first):
+    """a, one token later."""
+    import numpy as np
+
+    out = np.empty_like(a)
+    out[1:], out[:1] = a[:-1], first
+    return out
+
+
+def bit_filter(keys: DataFrame):
+    """Bits of all keys (a long column `gram`), at most 2 ** FILTER words whatever the table."""
+    import numpy as np
+
+    slots = keys.select(F.expr(f"shiftrightunsigned(gram, 6) & {(1 << FILTER) - 1}L").alias("at"), F.expr("shiftleft(1L, cast(gram & 63L as int))").alias("bit"))
+    found = slots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER, np.uint64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def may_hold(bits, g):
+    import numpy as np
+
+    return (bits[(g >> np.uint64(6)) & np.uint64((1 << FILTER) - 1)] >> (g & np.uint64(63))) & np.uint64(1) > 0
+
+
+def gram_counts(docs: DataFrame, order: int, bits, text: str = "text") -> DataFrame:
+    """(gram, context, tail, n) of all grams of order + 1 words with n >= KEEP.
+
+    context: the gram without its last word; tail: without its first. bits: the filter of grams of `order` words.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        keep = bits.value
         for b in batches:
             texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
             for start, end in blocks(texts):
-                _, ids, _ = v.encode(texts[start:end])
-                parts = []
-                for key in v.contexts(ids):
-                    some = key > 0
-                    k, x = key[some], ids[some]
-                    parts.append((k, np.full(len(k), -1)))
-                    kept = x <= v.successors
-                    parts.append((k[kept], x[kept]))
-                k, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                add(k, x, np.ones(len(k), np.int64))
-                if len(held[0]) > 4 * FLUSH:
-                    yield rows()
-                    held = [np.zeros(0, np.int64)] * 3
-        if len(held[0]):
-            yield rows()
-
-    pairs = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "context long, x long, n long")
-    return pairs.groupBy("context", "x").agg(F.sum("n").alias("n"))
+                found = grams(hashed([words_of(t) for t in texts[start:end]]), order + 1)
+                (tail, _), (g, valid) = found[-2:]
+                good = may_hold(keep, tail)
+                context = before(tail, np.uint64(word_hash(END.encode())))
+                if order == 1:
+                    good &= may_hold(keep, context)
+                else:
+                    good &= before(good, False)
+                at = np.flatnonzero(good & valid)
+                some, first, n = np.unique(g[at], return_index=True, return_counts=True)
+                at = at[first]
+                columns = [pa.array(a.view(np.int64)) for a in (some, context[at], tail[at])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], ["gram", "context", "tail", "n"])
+
+    found = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "gram long, context long, tail long, n long")
+    return found.groupBy("gram").agg(F.min("context").alias("context"), F.min("tail").alias("tail"), F.sum("n").alias("n")).where(F.col("n") >= KEEP)
 
 
 class SuffixTree:
-    """States 1 on; 0 is the root. Built from kept successor counts, parents first."""
+    """The written tree, its filter, and lookups."""
 
-    def __init__(self, vocabulary: Vocabulary, rows: list[tuple[int, int, int, int]]):
-        """rows: (context, occurrences of the context, successor, count)."""
+    def __init__(self, entries: DataFrame, bits):
+        self.entries, self.bits, self._local = entries, bits, None
+
+    def local(self):
+        """Sorted grams with log_p and log_gamma. The whole tree: for small corpora; `score` joins instead."""
+        if self._local is None:
+            self._local = sorted_entries(self.entries.toArrow())
+        return self._local
+
+    @property
+    def keys(self):
+        """Retained contexts."""
         import numpy as np
 
-        base = 10.0**vocabulary.base
-        grouped: dict[int, tuple[int, dict[int, int]]] = {}
-        for context, n, x, c in rows:
-            grouped.setdefault(context, (n, {}))[1][x] = c
-        self.index: dict[int, int] = {}
-        self.parents, gammas, tables = [0], [1.0], [{}]
-        for context in sorted(grouped):  # by order, for the order is in the high bits
-            n, successors = grouped[context]
-            parent = self._suffix(context)
-            xs = list(successors)
-            above = np.array([self._probability(parent, x, base, gammas, tables) for x in xs])
-            counts = np.array([successors[x] for x in xs], float)
-            rest, rest_above = max(0.0, n - counts.sum()), max(1e-12, 1 - above.sum())
-            gain = float((counts * np.log(counts / n / above)).sum() + (rest * np.log(max(rest, 1e-12) / n / rest_above) if rest else 0.0))
-            if gain <= 0.5 * np.log(n) * len(xs):
-                continue
-            inside = (counts + MU * above) / (n + MU)
-            self.index[context] = len(self.parents)
-            self.parents.append(parent)
-            gammas.append(max(1e-12, 1 - inside.sum()) / rest_above)
-            tables.append(dict(zip(xs, inside.tolist())))
-        self.keys = np.array(sorted(self.index), np.int64)
-        self.states = np.array([self.index[k] for k in self.keys.tolist()], np.int64)
-        self.parents, self.log_gamma = np.array(self.parents, np.int64), np.log10(np.array(gammas))
-        flat = sorted((s << WORD | x, p) for s, t in enumerate(tables) for x, p in t.items())
-        self.pairs = np.array([k for k, _ in flat], np.int64)
-        self.log_p = np.log10(np.array([p for _, p in flat], float))
-        del self.index
-
-    def _suffix(self, context: int) -> int:
-        """The longest retained proper suffix."""
-        order = context >> 56
-        for k in range(order - 1, 0, -1):
-            key = k << 56 | context & ((1 << (WORD * k)) - 1)
-            if key in self.index:
-                return self.index[key]
-        return 0
-
-    def _probability(self, state: int, x: int, base, gammas, tables) -> float:
-        scale = 1.0
-        while state:
-            if x in tables[state]:
-                return scale * tables[state][x]
-            scale, state = scale * gammas[state], int(self.parents[state])
-        return scale * base[x]
+        g, _, gamma = self.local()
+        return g[~np.isnan(gamma)]
 
     def log10(self, vocabulary: Vocabulary, ids):
         """log10 probability of each token after its context; of words outside the vocabulary, what stands before P0."""
-        import numpy as np
-
-        def find(keys, wanted):
-            if not len(keys):
-                return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return at, keys[at] == wanted
-
-        state = np.zeros(len(ids), np.int64)
-        for key in vocabulary.contexts(ids):  # longer ones replace shorter ones
-            some = np.flatnonzero(key)
-            at, hit = find(self.keys, key[some])
-            state[some[hit]] = self.states[at[hit]]
-        out = np.zeros(len(ids))
-        todo = np.flatnonzero(state)
-        done = np.zeros(len(ids), bool)
-        while len(todo):
-            at, hit = find(self.pairs, state[todo] << WORD | ids[todo])
-            out[todo[hit]] += self.log_p[at[hit]]
-            done[todo[hit]] = True
-            todo = todo[~hit]
-            out[todo] += self.log_gamma[state[todo]]
-            state[todo] = self.parents[state[todo]]
-            todo = todo[state[todo] > 0]
-        root = ~done & (ids != vocabulary.other)
-        out[root] += vocabulary.base[ids[root]]
-        return out
+        return log10(self.local(), self.bits, vocabulary, ids, vocabulary.hashes()[ids])[0]
+
+
+def sorted_entries(t):
+    """(grams, log_p, log_gamma), by gram; NaN for none. Repeated rows are one."""
+    import numpy as np
+
+    g = t["gram"].to_numpy().view(np.uint64)
+    keys, inverse = np.unique(g, return_inverse=True)
+    out = []
+    for name in ("log_p", "log_gamma"):
+        values = t[name].to_numpy().astype(float)  # null is NaN
+        some = ~np.isnan(values)
+        a = np.full(len(keys), np.nan)
+        a[inverse[some]] = values[some]
+        out.append(a)
+    return keys, *out
+
+
+def log10(entries, bits, vocabulary: Vocabulary, ids, h):
+    """(log10 probabilities, whether a context knew the token); of unknown words outside the vocabulary, what stands before P0."""
+    import numpy as np
+
+    keys, log_p, log_gamma = entries
+    ps, gammas = [], []
+    for g, valid in grams(h, ORDERS + 1):
+        p, gamma = np.full(len(g), np.nan), np.full(len(g), np.nan)
+        at = np.flatnonzero(valid & may_hold(bits, g)) if len(keys) else np.zeros(0, np.int64)
+        some, inverse = np.unique(g[at], return_inverse=True)
+        place = np.minimum(np.searchsorted(keys, some), max(0, len(keys) - 1))
+        hit = keys[place] == some if len(keys) else np.zeros(0, bool)
+        there, place = hit[inverse], place[inverse]
+        at, place = at[there], place[there]
+        p[at], gamma[at] = log_p[place], log_gamma[place]
+        ps.append(p)
+        gammas.append(gamma)
+    if len(keys) and len(ids):  # the first token stands after an end that is not among the tokens
+        k = np.searchsorted(keys, np.uint64(word_hash(END.encode())))
+        start = log_gamma[k] if k < len(keys) and keys[k] == np.uint64(word_hash(END.encode())) else np.nan
+    else:
+        start = np.nan
+    out, done = np.zeros(len(ids)), np.zeros(len(ids), bool)
+    valid = [v for _, v in grams(h, ORDERS + 1)]
+    for order in range(ORDERS, 0, -1):
+        p, gamma = ps[order], before(gammas[order - 1], start if order == 1 else np.nan)
+        hit = ~done & ~np.isnan(p)
+        out[hit] += p[hit]
+        done |= hit
+        down = ~done & valid[order] & ~np.isnan(gamma)
+        out[down] += gamma[down]
+    root = ~done & (ids != vocabulary.other)
+    out[root] += vocabulary.base[ids[root]]
+    return out, done
 
 
 FACTS = "uid long, doc_id long, token string, n long, known long, base double, score double"
 
 
-def local_scores(docs: DataFrame, model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """For each row one line with what the vocabulary scores (token null), and a line for each of its other words."""
+def chunked(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(chunk, uid, doc_id, t): rows numbered, and dealt into chunks of about CHUNK bytes."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        v, tree = model.value
-        uid = TaskContext.get().partitionId() << 40
+        uid = chunk = TaskContext.get().partitionId() << 40
+        size = 0
         for b in batches:
+            numbers = []
+            for n in (len(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()):
+                if size and size + n > CHUNK:
+                    chunk, size = chunk + 1, 0
+                size += n
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(np.arange(uid, uid + b.num_rows)), b.column(0), b.column(1)], ["chunk", "uid", "doc_id", "t"])
+            uid += b.num_rows
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "chunk long, uid long, doc_id long, t string")
+
+
+def needed(rows: DataFrame, bits) -> DataFrame:
+    """(chunk, gram): what of the tree each chunk may need, once for each block of it."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def out(chunk, parts):
+            some = np.unique(np.concatenate(parts)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(some)], ["chunk", "gram"])
+
+        keep, now, parts = bits.value, None, []
+        for b in batches:
+            chunks = b.column(0).to_numpy()
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            for start, end in blocks(texts):
-                lists, ids, sizes = v.encode(texts[start:end])
-                heads = np.cumsum(sizes) - sizes
-                known = ids != v.other
-                n = end - start
-                uids = np.arange(uid, uid + n)
-                uid += n
-                sums = [np.add.reduceat(a, heads) for a in (known.astype(np.int64) & (v.count[ids] > 0), np.where(known, v.base[ids], 0.0), tree.log10(v, ids))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids), b.column(0).slice(start, n), pa.nulls(n, pa.string()), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])],
-                    ["uid", "doc_id", "token", "n", "known", "base", "score"],
+            edges = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(texts)] if texts else []
+            for x, y in zip(edges, edges[1:]):
+                if parts and chunks[x] != now:
+                    yield out(now, parts)
+                    parts = []
+                now = chunks[x]
+                end = np.array([word_hash(END.encode())], np.uint64)
+                for i, j in blocks(texts[x:y]):
+                    h = hashed([words_of(t) for t in texts[x + i : x + j]])
+                    parts.append(np.unique(np.concatenate([end, *(g[valid & may_hold(keep, g)] for g, valid in grams(h, ORDERS + 1))])))
+        if parts:
+            yield out(now, parts)
+
+    return rows.select("chunk", "t").mapInArrow(run, "chunk long, gram long")
+
+
+def local_scores(rows: DataFrame, tree: SuffixTree, vocabulary: Vocabulary) -> DataFrame:
+    """For each row one line with what the vocabulary scores (token null), and a line for each of its other words, `known` the times that no context knew it."""
+    sc = rows.sparkSession.sparkContext
+    bits, known_words = sc.broadcast(tree.bits), sc.broadcast(vocabulary)
+    entries = written(needed(rows, bits).join(tree.entries, "gram"), "pst-needed")
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        v, found = known_words.value, sorted_entries(right)
+        names = ["uid", "doc_id", "token", "n", "known", "base", "score"]
+        out = []
+        texts = [t or b"" for t in left["t"].cast(pa.binary()).to_pylist()]
+        for start, end in blocks(texts):
+            lists, ids, h, sizes = v.encode(texts[start:end])
+            heads = np.cumsum(sizes) - sizes
+            known = ids != v.other
+            n = end - start
+            uids = left["uid"].slice(start, n).to_numpy()
+            logs, done = log10(found, bits.value, v, ids, h)
+            sums = [np.add.reduceat(a, heads) for a in (known.astype(np.int64) & (v.count[ids] > 0), np.where(known, v.base[ids], 0.0), logs)]
+            out.append(pa.table([pa.array(uids), left["doc_id"].slice(start, n), pa.nulls(n, pa.string()), pa.array(sizes), *map(pa.array, sums)], names))
+            number = v.number
+            owner, rare, times, rooted = [], [], [], []
+            by_context = iter(done[~known].tolist())
+            for u, words in zip(uids.tolist(), lists):
+                others = [w for w in words if w not in number]
+                c, root = Counter(others), Counter([w for w in others if not next(by_context)])
+                owner.extend([u] * len(c))
+                rare.extend(c)
+                times.extend(c.values())
+                rooted.extend([root[w] for w in c])
+            m = len(rare)
+            out.append(
+                pa.table(
+                    [pa.array(owner, pa.int64()), pa.nulls(m, pa.int64()), pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(rooted, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
+                    names,
                 )
-                number = v.number
-                owner, rare, times = [], [], []
-                for u, words in zip(uids.tolist(), lists):
-                    c = Counter([w for w in words if w not in number])
-                    owner.extend([u] * len(c))
-                    rare.extend(c)
-                    times.extend(c.values())
-                m = len(rare)
-                if m:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(owner, pa.int64()), pa.nulls(m, pa.int64()), pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                        ["uid", "doc_id", "token", "n", "known", "base", "score"],
-                    )
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, FACTS)
+            )
+        if not out:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
+        return pa.concat_tables(out)
+
+    return rows.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(run, FACTS)
+
+
+def grown(train: DataFrame, counts: DataFrame, vocabulary: Vocabulary, text: str, name: str) -> SuffixTree:
+    """The tree, order by order. `p` of a gram: that of its last word after the longest retained context in it."""
+    spark = train.sparkSession
+    denominator = float(vocabulary.total + 0.5 * (vocabulary.kinds + 1))
+    shorter = written(word_grams(counts).select("gram", "n", ((F.col("n") + 0.5) / denominator).alias("p")), f"{name}-grams")
+    parts = []
+    for order in range(1, ORDERS + 1):
+        bits = spark.sparkContext.broadcast(bit_filter(shorter))
+        found = written(gram_counts(train, order, bits, text), f"{name}-grams")
+        # hot contexts and tails: both sides are written tables, whose partitions Spark can split
+        rows = found.join(shorter.select(F.col("gram").alias("tail"), F.col("p").alias("above")), "tail")
+        rows = rows.join(shorter.select(F.col("gram").alias("context"), F.col("n").alias("all")), "context").select("gram", "context", "n", "all", "above")
+        rows = written(rows, f"{name}-rows")
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("above")))
+        sums = rows.groupBy("context").agg(F.max("all").alias("all"), F.sum("n").alias("kept"), F.sum("above").alias("of"), gain.alias("gain"), F.count(F.lit(1)).alias("m"))
+        rest, rest_above = F.greatest(F.lit(0), F.col("all") - F.col("kept")), F.greatest(F.lit(1e-12), 1 - F.col("of"))
+        more = F.when(rest > 0, rest * F.log(rest / F.col("all") / rest_above)).otherwise(0.0)
+        inside = (F.col("kept") + MU * F.col("of")) / (F.col("all") + MU)
+        gamma = F.greatest(F.lit(1e-12), 1 - inside) / rest_above
+        retained = sums.where(F.col("gain") + more > 0.5 * F.log("all") * F.col("m")).select("context", F.log10(gamma).alias("log_gamma"))
+        retained = written(retained, f"{name}-contexts")
+        smoothed = (F.col("n") + MU * F.col("above")) / (F.col("all") + MU)
+        kept = F.col("log_gamma").isNotNull()
+        judged = rows.join(retained, "context", "left").select("gram", "n", F.when(kept, smoothed).otherwise(F.col("above")).alias("p"), kept.alias("kept"))
+        shorter = written(judged, f"{name}-grams")
+        parts.append(shorter.where("kept").select("gram", F.log10("p").alias("log_p"), F.lit(None).cast("double").alias("log_gamma")))
+        parts.append(retained.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("log_p"), "log_gamma"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    entries = written(every.groupBy("gram").agg(F.max("log_p").alias("log_p"), F.max("log_gamma").alias("log_gamma")), f"{name}-tree")
+    return SuffixTree(entries, bit_filter(entries))
+
+
+def word_grams(counts: DataFrame) -> DataFrame:
+    """(gram, n) of all words with KEEP occurrences."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            h = np.array([word_hash(w) for w in b.column(0).cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1)], ["gram", "n"])
+
+    return counts.where(F.col("c") >= KEEP).select("token", "c").mapInArrow(run, "gram long, n long")
 
 
 def fit(train: DataFrame, text: str = "text", name: str = "pst"):
     """((vocabulary, tree), table of all counts)."""
-    spark = train.sparkSession
     counts = written(unigrams(train, text), f"{name}-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
     top = counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(VOCABULARY).toArrow()
     vocabulary = Vocabulary([w.encode() for w in top["token"].to_pylist()], top["c"].to_pylist(), total.ends, total.n, total.v)
-    path = new_path(spark, f"{name}-contexts")
-    found = written(context_counts(train, spark.sparkContext.broadcast(vocabulary), text), f"{name}-contexts", path)
-    whole = found.where("x = -1").select("context", F.col("n").alias("all"))  # bounded by the context shares
-    kept = found.where((F.col("x") >= 0) & (F.col("n") >= KEEP)).join(whole, "context").where(F.col("n") >= F.col("all") * KEEP_SHARE)
-    rows = kept.select("context", "all", "x", "n").toArrow()
-    drop_path(spark, path)
-    tree = SuffixTree(vocabulary, list(zip(*(rows[c].to_pylist() for c in ("context", "all", "x", "n")))))
-    return (vocabulary, tree), counts
+    return (vocabulary, grown(train, counts, vocabulary, text, name)), counts
 
 
 def score(docs: DataFrame, model, counts: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = docs.sparkSession
-    vocabulary = model[0]
-    facts = written(local_scores(docs, spark.sparkContext.broadcast(model), text, id_col), "pst-facts")
+    vocabulary, tree = model
+    rows = written(chunked(docs, text, id_col), "pst-chunks")
+    facts = written(local_scores(rows, tree, vocabulary), "pst-facts")
     denominator = float(vocabulary.log_denominator)
-    rare = facts.where(F.col("token").isNotNull()).select("uid", "token", "n").join(counts, "token", "left")
+    rare = facts.where(F.col("token").isNotNull()).select("uid", "token", "n", F.col("known").alias("rooted")).join(counts, "token", "left")
     base = F.log10(F.coalesce("c", F.lit(0)) + 0.5) - denominator
-    rare = rare.groupBy("uid").agg(F.sum(F.col("n") * base).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
+    rare = rare.groupBy("uid").agg(F.sum(F.col("n") * base).alias("rare_base"), F.sum(F.col("rooted") * base).alias("rare_score"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     joined = facts.where(F.col("token").isNull()).select("uid", "doc_id", "n", "known", "base", "score").join(rare, "uid", "left")
-    more = F.coalesce("rare_base", F.lit(0.0))
     return joined.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 

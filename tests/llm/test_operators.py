@@ -461,6 +461,65 @@ def test_suffix_tree_learns_contexts(spark):
     assert all(r["score"] > r["base_score"] + 10 for r in got)
 
 
+def plain_suffix_tree(train, texts, keep, mu):
+    """log10 probabilities of texts (lists of words) under the tree of train, by dictionaries."""
+    count = Counter()
+    for t in train:
+        s = ["\n", *t, "\n"]
+        count.update(s[1:])
+        count.update(tuple(s[i - k : i + 1]) for i in range(1, len(s)) for k in (1, 2, 3) if i >= k)
+    n, kinds = sum(c for g, c in count.items() if type(g) is str), sum(type(g) is str for g in count)
+    gamma, inside = {}, {}
+    below = defaultdict(dict)
+    for g, c in count.items():
+        if type(g) is tuple and c >= keep:
+            below[g[:-1]][g[-1]] = c
+
+    def p(s, x):
+        scale = 1.0
+        while s:
+            if s in gamma:
+                if x in inside[s]:
+                    return scale * inside[s][x]
+                scale *= gamma[s]
+            s = s[1:]
+        return scale * (count[x] + 0.5) / (n + 0.5 * (kinds + 1))
+
+    for s in sorted(below, key=len):
+        whole, xs = count[s[0]] if len(s) == 1 else count[s], below[s]
+        above = {x: p(s[1:], x) for x in xs}
+        rest, rest_above = whole - sum(xs.values()), max(1e-12, 1 - sum(above.values()))
+        gain = sum(c * math.log(c / whole / above[x]) for x, c in xs.items()) + (rest * math.log(rest / whole / rest_above) if rest else 0)
+        if gain > 0.5 * math.log(whole) * len(xs):
+            inside[s] = {x: (c + mu * above[x]) / (whole + mu) for x, c in xs.items()}
+            gamma[s] = max(1e-12, 1 - sum(inside[s].values())) / rest_above
+    out = []
+    for t in texts:
+        s = ["\n", *t, "\n"]
+        out.append(sum(math.log10(p(tuple(s[max(0, i - 3) : i]), s[i])) for i in range(1, len(s))))
+    return out, len(gamma)
+
+
+def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    common = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(400):
+        t = rng.choice(common, 60).tolist()
+        t[20:20] = ["rare", f"pair{i % 40}", f"tail{i % 40}", "then", f"end{i % 40}"]  # 10 times each, among 26,400 tokens
+        texts.append(t)
+    monkeypatch.setattr(suffix_tree, "VOCABULARY", 200)  # most of the contexts lie outside it
+    monkeypatch.setattr(suffix_tree, "CHUNK", 20_000)
+    monkeypatch.setattr(suffix_tree, "BLOCK", 5_000)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, counts = suffix_tree.fit(docs)
+    got = {r["doc_id"]: r for r in rows(suffix_tree.score(docs, model, counts))}
+    want, contexts = plain_suffix_tree(texts, texts, suffix_tree.KEEP, suffix_tree.MU)
+    assert len(model[1].keys) == contexts > 40
+    for i, w in enumerate(want):
+        assert math.isclose(got[i]["score"], w, rel_tol=1e-9)
+
+
 def test_suffix_tree_on_odd_rows(odd, none):
     model, counts = suffix_tree.fit(odd)
     got = rows(suffix_tree.score(odd, model, counts))
