@@ -99,6 +99,48 @@ def test_simhash_on_odd_rows(odd, none):
     assert set(kept[0]) == set(odd.columns)
 
 
+def plain_survivors(texts):
+    """ids that stay when texts with 5-word Jaccard >= 0.8 are linked: the smallest of each group."""
+    sets = {}
+    for i, t in texts.items():
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    up = {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if x == y or 5 * len(x & y) >= 4 * len(x | y):
+            up[max(top(a), top(b))] = min(top(a), top(b))
+    return {i for i in texts if top(i) == i}
+
+
+def test_pipeline_drops_edited_copies(spark, documents, odd, none):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    line = " ".join(f"common{i}" for i in range(30))  # shared by all, similar by none
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for k in range(8):
+            t = list(base)
+            for at in rng.choice(200, rng.integers(1, 6), replace=False):
+                t[at] = f"edit{g}x{k}x{at}"
+            texts[10**6 + 100 * g + k] = " ".join([*t, line])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in rows(corpus_pipeline.drop_near_duplicates(spark, df, ""))}
+    want = plain_survivors(texts)
+    assert got == want and sum(i >= 10**6 for i in got) < 48
+    kept = rows(corpus_pipeline.drop_near_duplicates(spark, odd, ""))
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "2", "None", "4", "5", "7"]) and set(kept[0]) == set(odd.columns)
+    assert corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 40)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in rows(components.connected_components(spark.createDataFrame(edges, "u long, v long")))}
