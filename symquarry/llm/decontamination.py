@@ -3,7 +3,9 @@
 A text becomes a sequence of lower-cased words in which numbers, units that follow a number, and names
 (capitalised words inside a sentence) are typed placeholders; their values are kept as slots. Windows of
 WIDTH template words are hash-joined with the windows of the benchmark, so a question that was asked again
-with other numbers or names still meets its template. Windows need LITERALS ordinary words.
+with other numbers or names still meets its template. Windows need LITERALS ordinary words. Two more views of the
+same words stand beside the template: one where capitalised words that open a sentence are names too, and one of the
+plain lower-cased words, by which verbatim passages match whatever their case. White space is folded first.
 
 Matches of a document and an item along one alignment are then checked for slot consistency: each value of
 the item must always have been replaced by the same value. Alignments that fail are coincidences of form and
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import table, written
 
@@ -39,45 +42,83 @@ UNITS = (
     "weeks", "months", "years", "degrees", "dollars", "euros", "cents",
 )
 
-# Marks put before a value's text: name, unit; and in place of the point inside a number. Private-use characters.
-NAME, UNIT, POINT = "", "", ""
+# Marks put before a value's text: name, unit; in place of the point inside a number; and before a capitalised word
+# that opens a sentence. Private-use characters.
+NAME, UNIT, POINT, START = "", "", "", ""
 
 
 def template_words(text: Column) -> Column:
-    """Words in order; a value starts with NAME or UNIT or a digit."""
-    named = F.regexp_replace(text, r"([\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll})", rf"$1{NAME}$2")
-    low = F.lower(named)
+    """Words in order; a value starts with NAME or UNIT or a digit, a possible name at a sentence's start with START."""
+    folded = F.regexp_replace(text, r"\s+", " ")
+    named = F.regexp_replace(folded, r"([\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll})", rf"$1{NAME}$2")
+    opened = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}})", rf"{START}$1")
+    low = F.lower(opened)
     joined = F.regexp_replace(low, r"(?<=[0-9])[.,](?=[0-9])", POINT)
     united = F.regexp_replace(joined, rf"(?<=[0-9])\s?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", rf" {UNIT}$1")
     ready = F.when(text.rlike("[0-9]"), united).otherwise(low)
-    return F.regexp_extract_all(ready, F.lit(rf"[\p{{L}}\p{{N}}{NAME}-{POINT}]+"), F.lit(0))
+    return F.regexp_extract_all(ready, F.lit(rf"[\p{{L}}\p{{N}}{NAME}-{START}]+"), F.lit(0))
 
 
 def _is_value(w: Column) -> Column:
     return w.rlike(f"^[0-9{NAME}{UNIT}]")
 
 
+def _opens(w: Column) -> Column:
+    return w.startswith(START)
+
+
+def _bare(w: Column) -> Column:
+    return F.translate(w, NAME + UNIT + START, "")
+
+
 def _placeholder(w: Column) -> Column:
-    return F.when(w.startswith(NAME), F.lit(NAME)).when(w.startswith(UNIT), F.lit(UNIT)).when(w.rlike("^[0-9]"), F.lit("0")).otherwise(w)
+    # POINT stands for a number: no word is that alone, so the windows of values and those of placeholders stay apart
+    return F.when(w.startswith(NAME), F.lit(NAME)).when(w.startswith(UNIT), F.lit(UNIT)).when(w.rlike("^[0-9]"), F.lit(POINT)).otherwise(F.translate(w, START, ""))
 
 
-def windows(df: DataFrame, keys: list[str], text: Column, widths: list[int]) -> DataFrame:
-    """keys, pos, width, window (hash), slots (values in order, null where there are none)."""
+def windows(df: DataFrame, keys: list[str], text: Column, widths: list[int], every: bool = False) -> DataFrame:
+    """keys, view, pos, width, window (hash), slots (values in order, null where there are none).
+
+    view 0 has placeholders for values; view 1 takes words that open a sentence for names too; view 2 has the plain
+    words. Views that don't differ in a window are given once, as the first of them, or all if `every`.
+    """
     words = df.select(*keys, template_words(text).alias("words"))
-    special = F.exists("words", _is_value)
-    # most texts without values skip the second array
-    typed = words.select(*keys, "words", special.alias("special"), F.when(special, F.transform("words", _placeholder)).otherwise(F.col("words")).alias("template"))
+    special, opened = F.exists("words", _is_value), F.exists("words", _opens)
+    # most texts without values skip the other arrays
+    marked = words.select(*keys, "words", special.alias("special"), opened.alias("opened"))
+    plain = F.when(F.col("special") | F.col("opened"), F.transform("words", _bare)).otherwise(F.col("words"))
+    template = F.when(F.col("special"), F.transform("words", _placeholder)).otherwise(F.col("plain"))
+    wide = F.when(F.col("opened"), F.transform("words", lambda w: F.when(_opens(w), F.lit(NAME)).otherwise(_placeholder(w)))).otherwise(F.col("template"))
+    typed = marked.withColumn("plain", plain).withColumn("template", template).withColumn("wide", wide)
+    typed = typed.select(*keys, "words", "special", "opened", "plain", "template", "wide")
 
     def at(width: int) -> Column:
-        def one(i: Column) -> Column:
-            values = F.filter(F.slice("words", i, width), _is_value)
-            slots = F.when(F.col("special"), F.when(F.size(values) > 0, values))
-            return F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(F.slice("template", i, width), F.lit(width)).alias("window"), slots.alias("slots"))
-
-        last = F.size("template") - width + 1
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), one))
-
-    found = [F.coalesce(at(w), F.array().cast("array<struct<pos:int,width:int,window:bigint,slots:array<string>>>")) for w in widths]
+        def one(view: int, array: str, slotted) -> Column:
+            def make(i: Column) -> Column:
+                part, of = F.slice("words", i, width), F.slice("plain", i, width)
+                if slotted is None:
+                    slots = F.lit(None).cast("array<string>")
+                else:
+                    found = F.filter(F.zip_with(part, of, lambda w, p: F.when(slotted(w), p)), lambda v: v.isNotNull())
+                    slots = F.when(F.col("special") | F.col("opened"), F.when(F.size(found) > 0, found))
+                return F.struct(F.lit(view).alias("view"), i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(F.slice(array, i, width), F.lit(width)).alias("window"), slots.alias("slots"))
+
+            return make
+
+        last = F.size("words") - width + 1
+        places = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+        none = F.array().cast("array<int>")
+        holds = lambda test: lambda i: F.exists(F.slice("words", i, width), test)
+        opening = places if every else F.when(F.col("opened"), F.filter(places, holds(_opens))).otherwise(none)
+        valued = places if every else F.when(F.col("special"), F.filter(places, holds(_is_value))).otherwise(none)
+        views = [
+            F.transform(places, one(0, "template", _is_value)),
+            F.transform(opening, one(1, "wide", lambda w: _is_value(w) | _opens(w))),
+            F.transform(valued, one(2, "plain", None)),
+        ]
+        return F.when(last > 0, F.concat(*views))
+
+    found = [F.coalesce(at(w), F.array().cast("array<struct<view:int,pos:int,width:int,window:bigint,slots:array<string>>>")) for w in widths]
     return typed.select(*keys, F.inline(F.concat(*found) if len(found) > 1 else found[0]))
 
 
@@ -88,16 +129,18 @@ def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     length = F.size(template_words(F.col("t")))
     sized = items.select("*", F.least(length, F.lit(WIDTH)).alias("w")).where(F.col("w") >= SHORT)
     widths = sorted(r.w for r in sized.select("w").distinct().collect())  # SHORT to WIDTH: a few values
-    parts = [windows(sized.where(F.col("w") == w), ["item_id", "item_key"], F.col("t"), [w]) for w in widths]
+    parts = [windows(sized.where(F.col("w") == w), ["item_id", "item_key"], F.col("t"), [w], every=True) for w in widths]
     if not parts:
-        parts = [windows(sized, ["item_id", "item_key"], F.col("t"), [WIDTH])]
+        parts = [windows(sized, ["item_id", "item_key"], F.col("t"), [WIDTH], every=True)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     literal = F.col("width") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.lit(LITERALS), F.col("width") - 1)
-    every = every.where(literal).dropDuplicates(["item_key", "pos", "width"])
-    totals = every.groupBy("item_key").agg(F.count(F.lit(1)).alias("total"))
-    return every.join(totals, "item_key"), widths or [WIDTH]
+    spare = F.min(F.when(F.col("view") == 0, literal)).over(W.partitionBy("item_key", "pos", "width"))
+    usable = every.withColumn("ordinary", spare).where(literal & F.col("ordinary")).drop("ordinary")
+    usable = usable.dropDuplicates(["item_key", "view", "pos", "width"])
+    totals = usable.groupBy("item_key", "view").agg(F.count(F.lit(1)).alias("total"))
+    return usable.join(totals, ["item_key", "view"]), widths or [WIDTH]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -106,33 +149,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
     changed: a value of the item stands replaced in the document.
     """
     items, widths = item_windows(benchmark)
-    items = items.select("item_id", "item_key", F.col("pos").alias("item_pos"), "width", "window", F.col("slots").alias("item_slots"), "total")
+    items = items.select("item_id", "item_key", "view", F.col("pos").alias("item_pos"), "width", "window", F.col("slots").alias("item_slots"), "total")
     items = written(items, "benchmark-windows")
     small = items.count() <= BROADCAST_WINDOWS
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("t"), F.xxhash64(F.col(id_col).cast("long"), body).alias("doc_key"))
-    found = windows(rows, ["doc_id", "doc_key"], F.col("t"), widths)
+    found = windows(rows, ["doc_id", "doc_key"], F.col("t"), widths).drop("view")
     met = found.join(F.broadcast(items) if small else items, ["window", "width"])
     pair = F.transform(
         F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("a"), F.coalesce("slots", F.array().cast("array<string>")).alias("b")),
         lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")),
     )
     # along one alignment an item's window occurs once, so these arrays are bounded by the item
-    lines = met.groupBy("doc_id", "doc_key", "item_id", "item_key", "total", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
+    lines = met.groupBy("doc_id", "doc_key", "item_id", "item_key", "view", "total", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
         F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
     )
     values = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
     consistent = lines.where(F.size(values) == F.size("pairs"))
     changed = F.exists("pairs", lambda p: p["a"] != p["b"])
-    each = consistent.select("doc_id", "doc_key", "item_id", "item_key", "total", changed.alias("changed"), F.explode("at").alias("item_pos"))
+    each = consistent.select("doc_id", "doc_key", "item_id", "item_key", "view", "total", changed.alias("changed"), F.explode("at").alias("item_pos"))
     summed = (
-        each.groupBy("doc_id", "doc_key", "item_id", "item_key", "total", "item_pos")
+        each.groupBy("doc_id", "doc_key", "item_id", "item_key", "view", "total", "item_pos")
         .agg(F.max("changed").alias("changed"))
-        .groupBy("doc_id", "doc_key", "item_id", "item_key", "total")
+        .groupBy("doc_id", "doc_key", "item_id", "item_key", "view", "total")
         .agg(F.count(F.lit(1)).alias("matched"), F.max("changed").alias("changed"))
     )
+    # the views of an item count by themselves; the fullest one is reported
+    best = F.max(F.struct((F.col("matched") / F.col("total")).alias("coverage"), "matched", "total", "changed")).alias("best")
     hit = (F.col("matched") >= RUN) | (F.col("matched") >= COVERAGE * F.col("total"))
-    return summed.where(hit).select("doc_id", "doc_key", "item_id", "matched", "total", (F.col("matched") / F.col("total")).alias("coverage"), "changed")
+    reported = summed.where(hit).groupBy("doc_id", "doc_key", "item_id", "item_key").agg(best)
+    return reported.select("doc_id", "doc_key", "item_id", "best.matched", "best.total", "best.coverage", "best.changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

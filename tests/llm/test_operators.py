@@ -296,6 +296,18 @@ def test_new_numbers_and_names_are_seen_through_but_must_be_consistent(spark):
     assert got[1]["changed"] and not got[4]["changed"] and got[4]["coverage"] == 1.0
 
 
+def test_verbatim_passages_match_in_any_case_and_wrapping(spark):
+    item = "A train leaves Paris at 12 and after 12 minutes it has gone 300 km towards Lyon while Alice waits there for her friend"
+    opening = "Alice has 12 apples. Alice gives them to Bob. Carol takes 4 apples of them. Carol eats 4 plums today."
+    asked = "Dora has 15 apples. Dora gives them to Emil. Frida takes 7 apples of them. Frida eats 7 plums today."
+    wrapped = item.replace(" Paris", "\nParis").replace(" Lyon", "  \n Lyon").replace(" Alice", "\n\tAlice")
+    bench = spark.createDataFrame([(1, item), (2, opening)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.upper()), (2, item.lower()), (3, wrapped), (4, asked), (5, "Nothing of this stands in the questions at all.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in rows(decontamination.matches(docs, bench))}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2)}
+    assert all(got[i, 1]["coverage"] == 1.0 and not got[i, 1]["changed"] for i in (1, 2, 3)) and got[4, 2]["changed"]
+
+
 def test_decontamination_on_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and then it went home again"), (1, "the cat sat on the mat and then it went home again"), (2, "twice twice twice"), (3, "word1 word2 word3 word4 word5 word6")], "item_id long, text string")
     kept = rows(decontamination.decontaminate(odd, bench))
