@@ -5,7 +5,8 @@ A text becomes a sequence of lower-cased words in which numbers, units that foll
 WIDTH template words are hash-joined with the windows of the benchmark, so a question that was asked again
 with other numbers or names still meets its template. Windows need LITERALS ordinary words. Two more views of the
 same words stand beside the template: one where capitalised words that open a sentence are names too, and one of the
-plain lower-cased words, by which verbatim passages match whatever their case. White space is folded first.
+plain lower-cased words, by which verbatim passages match whatever their case. White space is folded first. An item
+too dense in values to have a usable window has all its plain windows instead, and matches verbatim.
 
 Matches of a document and an item along one alignment are then checked for slot consistency: each value of
 the item must always have been replaced by the same value. Alignments that fail are coincidences of form and
@@ -137,7 +138,10 @@ def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
         every = every.unionByName(p)
     literal = F.col("width") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.lit(LITERALS), F.col("width") - 1)
     spare = F.min(F.when(F.col("view") == 0, literal)).over(W.partitionBy("item_key", "pos", "width"))
-    usable = every.withColumn("ordinary", spare).where(literal & F.col("ordinary")).drop("ordinary")
+    judged = every.withColumn("ordinary", spare)
+    # an item whose values leave no template is searched by all its plain windows, values included
+    dense = ~F.max("ordinary").over(W.partitionBy("item_key"))
+    usable = judged.withColumn("dense", dense).where((literal & F.col("ordinary")) | (F.col("dense") & (F.col("view") == 2))).drop("ordinary", "dense")
     usable = usable.dropDuplicates(["item_key", "view", "pos", "width"])
     totals = usable.groupBy("item_key", "view").agg(F.count(F.lit(1)).alias("total"))
     return usable.join(totals, ["item_key", "view"]), widths or [WIDTH]

@@ -308,6 +308,14 @@ def test_verbatim_passages_match_in_any_case_and_wrapping(spark):
     assert all(got[i, 1]["coverage"] == 1.0 and not got[i, 1]["changed"] for i in (1, 2, 3)) and got[4, 2]["changed"]
 
 
+def test_items_dense_in_values_match_verbatim(spark):
+    items = ["What is 12 + 34 - 56 * 78 + 90 / 15 - 3?", "Convert 12 km, 30 m, 7 cm, 5 mm, 9 km and 4 m"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    others = ["What is 13 + 35 - 57 * 79 + 91 / 16 - 4?", "Convert 1 km, 3 m, 8 cm, 6 mm, 2 km and 5 m"]
+    docs = spark.createDataFrame(list(enumerate([f"He asked: {t} Nobody knew." for t in items + others])), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in rows(decontamination.matches(docs, bench))} == {(0, 0), (1, 1)}
+
+
 def test_decontamination_on_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and then it went home again"), (1, "the cat sat on the mat and then it went home again"), (2, "twice twice twice"), (3, "word1 word2 word3 word4 word5 word6")], "item_id long, text string")
     kept = rows(decontamination.decontaminate(odd, bench))
