@@ -357,6 +357,19 @@ def test_random_strings_are_found_and_ordinary_ones_are_not(spark):
     assert not any("random" in got[i] for i in range(60, 60 + 70))
 
 
+@pytest.mark.parametrize("name,lower", [("base32", True), ("base36", True), ("base32", False), ("base36", False), ("base64", False)])
+def test_keys_of_every_alphabet_are_found(spark, name, lower):
+    rng = np.random.default_rng(11)
+    alphabet = list(secret_scan.ALPHABETS[name].lower() if lower else secret_scan.ALPHABETS[name])
+    keys = ["".join(rng.choice(alphabet, n)) for n in (24, 32, 40, 64) for _ in range(20)]
+    plain = ["internationalisationen", "verantwortungsbewusstsein", "responsabilidades", "getUserAccountSettingsForCustomer", "/usr/local/lib/python/site-packages", "anticonstitutionnellement"]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + plain * 40)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in rows(secret_scan.secret_report(df))}
+    for at in range(0, 80, 20):
+        assert sum("random:4:" in got[i] for i in range(at, at + 20)) >= 16
+    assert not any("random" in got[i] for i in range(80, len(got)))
+
+
 def test_normal_tail(spark):
     z = [-3.0, -1.0, 0.0, 0.5, 1.96, 4.0]
     got = [r.p for r in spark.createDataFrame([(x,) for x in z], "z double").select(secret_scan.upper_tail(F.col("z")).alias("p")).collect()]
