@@ -496,6 +496,19 @@ def related_types_top5(spark, sf_dir):
     return R.related_types(wanted, s).select("relation_id", "target_text", "type_id", "type_qualified_name", "rank")
 
 
+@query()
+def related_types_all(spark, sf_dir):
+    """The first types of every relation: returned, parameter and base types of all symbols, no line left out.
+
+    Relations with equal texts have equal types, so the ranking is made once for each text.
+    """
+    s = typed(spark, sf_dir)
+    every = R.type_relations(s, "relative_path", "line_no")
+    texts = every.select(F.col("target_text").alias("relation_id"), F.lit(R.TYPE_RELATIONS[0]).alias("relation_type"), "target_text").distinct()
+    ranked = R.related_types(texts, s).select("target_text", "type_id", "type_qualified_name", "rank")
+    return every.join(ranked, "target_text").select("relative_path", "source", "relation_type", "source_text", "target_text", "type_id", "type_qualified_name", "rank")
+
+
 # ---- change detection
 
 V1 = "v1 AS (SELECT doc_id AS id, relative_path, md5(content) AS h, doc_id % 13 <> 0 AS is_active FROM docs WHERE doc_id % 10 <> 0)"

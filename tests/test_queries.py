@@ -42,6 +42,21 @@ def test_queries_without_sql_give_rows(spark, sf_dir):
         assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_related_types_of_every_relation(spark, sf_dir):
+    from collections import Counter, defaultdict
+
+    by_text = defaultdict(list)
+    for r in catalog.sym(spark, sf_dir).where("kind in ('class', 'interface', 'struct', 'enum')").collect():
+        for text in {r["name"], r["qualified_name"]}:
+            by_text[text].append((r["qualified_name"], r["relative_path"], r["symbol_id"]))
+    want = Counter()
+    for r in catalog.QUERIES["relations_types"](spark, sf_dir).collect():
+        for rank, (qualified, _, i) in enumerate(sorted(by_text[r["target_text"]])[:5], 1):
+            want[r["relative_path"], r["source"], r["relation_type"], r["source_text"], r["target_text"], i, qualified, rank] += 1
+    got = Counter(tuple(r) for r in catalog.QUERIES["related_types_all"](spark, sf_dir).collect())
+    assert got == want and any(k[1] % 4 for k in want) and len({k[2] for k in want}) > 1
+
+
 def test_entry_module_lists_them():
     import __spark_entry__ as e
 
