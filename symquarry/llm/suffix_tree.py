@@ -11,39 +11,42 @@ Tokens are lower-cased words and one end per document. Counts cover every traini
 * P(x | s) = (c(s, x) + MU P(x | s')) / (c(s) + MU) for kept x; any other x has gamma(s) P(x | s'), where
   gamma makes the distribution sum to one. Scores walk from the longest suffix state towards the root.
 
-Words and word sequences (grams) are known by 64-bit hashes. The tree is a written table with a row for each
-gram: log_p of its last word after the others, log_gamma of the whole as a context. It is grown order by order:
-a gram is counted if its head and its tail have KEEP occurrences, without which it cannot have them. Bit filters
-of fixed size, one for each order, spare the shuffle most others; a wrong yes costs a row and changes nothing.
-
-Scoring deals the documents into chunks of CHUNK bytes. Each chunk lists the distinct grams that it needs once,
-these are joined with the tree, and chunk and entries meet in a cogroup. The broadcast vocabulary (the
-VOCABULARY most frequent words) gives base probabilities; rarer words get theirs by a join with the full
-counts. Common words never enter that join, so no key of it is hot, and no count is dropped.
-
-Nulls: a null text is empty: its end is scored. A null id is neither held out nor learnt from. Without any
-training document N and V are 0 and every token has probability one half of one half's base. Repeated rows
-get a row each. Extra columns are ignored.
+That walk is a sum over word sequences (grams). Each context that a token stands after adds log gamma, and a kept
+successor adds what it has over gamma and its shorter context; so every gram has one fixed value, and a text's
+log-probability is the sum of its words' bases and of the values of all its grams of up to four words.
+
+Texts are read once, into a written table of 64-bit hashes of their tokens; grams are hashes of those. The tree is
+grown order by order: a gram is counted if its head and its tail have KEEP occurrences, without which it cannot have
+them. Bit filters of fixed size, one for each order, spare the shuffle most others; a wrong yes costs a row and
+changes nothing. Words and grams with their values are one written table. The most frequent of them, HOT at most, are
+broadcast; the others are joined with the (row, gram) pairs that need them. No key of that join is hot, because the
+frequent ones never enter it, and no count is dropped.
+
+Nulls: a null text is empty (one token, the end); rows with a null id are scored, learnt from like others.
+Without any training document N and V are 0 and every token has probability one. Repeated rows get a row each. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from math import log10
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table, written
+from .common import drop_path, fold, new_path, table, written
 
 FOLDS, HELD = 5, 1
-END = "\n"  # no word contains white space
-VOCABULARY = 200_000
+END = b"\n"  # no word contains white space
 ORDERS = 3
 KEEP, MU = 8, 20.0
-BLOCK = 4 << 20
-CHUNK = 8 << 20
-FLUSH = 400_000
+HOT = 1_000_000
+BLOCK = 4 << 20  # bytes of text read at once
+SLAB = 2 << 20  # tokens counted at once
 WORD_CACHE = 500_000
 FILTER = 20  # a filter has 2 ** FILTER words of 64 bits
 
@@ -52,101 +55,63 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        size, end = len(texts[at]), at + 1
-        while end < len(texts) and size + len(texts[end]) <= BLOCK:
-            size += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
-
-
-def unigrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token, c) over all rows of docs."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def rows(c: Counter):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], ["token", "n"])
-
-        counts: Counter = Counter()
-        for b in batches:
-            texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
-            for start, end in blocks(texts):
-                for t in texts[start:end]:
-                    counts.update(words_of(t))
-                counts[END.encode()] += end - start
-                if len(counts) > FLUSH:
-                    yield rows(counts)
-                    counts = Counter()
-        if counts:
-            yield rows(counts)
-
-    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
-
-
-class Vocabulary:
-    """Numbers of the most frequent words, 1 on; 0 is the end, len + 1 any other word."""
-
-    def __init__(self, words: list[bytes], counts: list[int], end_count: int, total: int, kinds: int):
-        import numpy as np
-
-        self.number = {w: i + 1 for i, w in enumerate(words)}
-        self.other = len(words) + 1
-        self.count = np.array([end_count, *counts, 0], np.int64)
-        self.total, self.kinds = total, kinds
-        self.log_denominator = np.log10(total + 0.5 * (kinds + 1))
-        self.base = np.log10(self.count + 0.5) - self.log_denominator
-
-    def hashes(self):
-        """Hashes of all numbers; that of the other words is of no word."""
-        import numpy as np
-
-        return np.array([word_hash(w) for w in (END.encode(), *self.number, b"\n\n")], np.uint64)
+class Digests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        from xxhash import xxh64_digest
 
-    def encode(self, texts: list[bytes]):
-        """(word lists, numbers of all tokens with ends, their hashes, tokens of each text)."""
-        import numpy as np
-
-        get, lists = self.number.get, [words_of(t) for t in texts]
-        other = self.other
-        flat: list[int] = []
-        for words in lists:
-            flat.extend([get(w, other) for w in words])
-            flat.append(0)
-        return lists, np.array(flat, np.int64), hashed(lists), np.array([len(w) + 1 for w in lists], np.int64)
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[word] = found = xxh64_digest(word)
+        return found
 
 
-def word_hash(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
+DIGESTS = Digests()
 
-    return xxh64_intdigest(word)
 
+def end_hash():
+    import numpy as np
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = found = word_hash(word)
-        return found
+    return np.frombuffer(DIGESTS[END], np.uint64)[0]
 
 
-HASHES = WordHashes()
+def encoded(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(uid, doc_id, h): rows numbered, with the hashes of their tokens, 8 bytes each, an end last."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-def hashed(lists: list[list[bytes]]):
-    """Hashes of all words, with an end after each list."""
+        uid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            hashes: list[bytes] = []
+            size = start = 0
+            for i, t in enumerate(b.column(1).cast(pa.binary())):
+                raw = t.as_py() or b""
+                hashes.append(b"".join(map(DIGESTS.__getitem__, (*words_of(raw), END))))
+                size += len(raw)
+                if size >= BLOCK or i + 1 == b.num_rows:
+                    n = i + 1 - start
+                    yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), b.column(0).slice(start, n), pa.array(hashes, pa.binary())], ["uid", "doc_id", "h"])
+                    uid, start, size, hashes = uid + n, i + 1, 0, []
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "uid long, doc_id long, h binary")
+
+
+def slabs(column) -> Iterator[tuple]:
+    """(first row, row after the last, hashes of their tokens, tokens of each) of whole rows, about SLAB tokens at a time."""
     import numpy as np
 
-    get, end = HASHES.__getitem__, word_hash(END.encode())
-    flat: list[int] = []
-    for words in lists:
-        flat.extend(map(get, words))
-        flat.append(end)
-    return np.array(flat, np.uint64)
+    raw = column.buffers()
+    if not len(column) or raw[2] is None:
+        return
+    wide = np.int64 if str(column.type) == "large_binary" else np.int32
+    offsets = np.frombuffer(raw[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(raw[2], np.uint8)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 8 * SLAB, side="right")) - 1)
+        yield at, end, data[offsets[at] : offsets[end]].view(np.uint64), np.diff(offsets[at : end + 1]) // 8
+        at = end
 
 
 def grams(h, most: int):
@@ -156,16 +121,14 @@ def grams(h, most: int):
     """
     import numpy as np
 
-    end = np.uint64(word_hash(END.encode()))
+    end = end_hash()
     at = np.arange(1, len(h) + 1)
     last = np.zeros(len(h), np.int64)  # place of the last end before each token; 0 is the start
     last[1:] = np.maximum.accumulate(np.where(h == end, at, 0))[:-1]
     back = at - last
     found = [(h, np.ones(len(h), bool))]
     for m in range(2, most + 1):
-        before = np.empty_like(h)
-        before[1:], before[:1] = found[-1][0][:-1], end
-        g = before * np.uint64(0x9E3779B97F4A7C15) + (h ^ np.uint64(m)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        g = shifted(found[-1][0], end) * np.uint64(0x9E3779B97F4A7C15) + (h ^ np.uint64(m)) * np.uint64(0xC2B2AE3D27D4EB4F)
         g ^= g >> np.uint64(32)
         g *= np.uint64(0xD6E8FEB86659FD93)
         g ^= g >> np.uint64(29)
@@ -173,7 +136,7 @@ def grams(h, most: int):
     return found
 
 
-def before(a, first):
+def shifted(a, first):
     """a, one token later."""
     import numpy as np
 
@@ -199,299 +162,247 @@ def may_hold(bits, g):
     return (bits[(g >> np.uint64(6)) & np.uint64((1 << FILTER) - 1)] >> (g & np.uint64(63))) & np.uint64(1) > 0
 
 
-def gram_counts(docs: DataFrame, order: int, bits, text: str = "text") -> DataFrame:
-    """(gram, context, tail, n) of all grams of order + 1 words with n >= KEEP.
+def _batch(columns, names):
+    import pyarrow as pa
 
-    context: the gram without its last word; tail: without its first. bits: the filter of grams of `order` words.
-    """
+    return pa.RecordBatch.from_arrays([pa.array(c.view("int64") if c.dtype.kind == "u" else c) for c in columns], names)
+
+
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """(gram, n) of all words and the end."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
-        keep = bits.value
         for b in batches:
-            texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
-            for start, end in blocks(texts):
-                found = grams(hashed([words_of(t) for t in texts[start:end]]), order + 1)
-                (tail, _), (g, valid) = found[-2:]
-                good = may_hold(keep, tail)
-                context = before(tail, np.uint64(word_hash(END.encode())))
-                if order == 1:
-                    good &= may_hold(keep, context)
-                else:
-                    good &= before(good, False)
-                at = np.flatnonzero(good & valid)
-                some, first, n = np.unique(g[at], return_index=True, return_counts=True)
-                at = at[first]
-                columns = [pa.array(a.view(np.int64)) for a in (some, context[at], tail[at])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], ["gram", "context", "tail", "n"])
+            for _, _, h, _ in slabs(b.column(0)):
+                yield _batch(np.unique(h, return_counts=True), ["gram", "n"])
 
-    found = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "gram long, context long, tail long, n long")
-    return found.groupBy("gram").agg(F.min("context").alias("context"), F.min("tail").alias("tail"), F.sum("n").alias("n")).where(F.col("n") >= KEEP)
+    return tokens.select("h").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-class SuffixTree:
-    """The written tree, its filter, and lookups."""
+def gram_counts(tokens: DataFrame, order: int, shorter) -> DataFrame:
+    """(gram, n) of all grams of order + 1 words with n >= KEEP. shorter: the filter of grams of `order` words."""
 
-    def __init__(self, entries: DataFrame, bits):
-        self.entries, self.bits, self._local = entries, bits, None
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
 
-    def local(self):
-        """Sorted grams with log_p and log_gamma. The whole tree: for small corpora; `score` joins instead."""
-        if self._local is None:
-            self._local = sorted_entries(self.entries.toArrow())
-        return self._local
+        for b in batches:
+            for _, _, h, _ in slabs(b.column(0)):
+                found = grams(h, order + 1)
+                (tail, whole), (g, valid) = found[-2:]
+                good = may_hold(shorter.value, tail)
+                # the first context is the end, which every text holds
+                head = shifted(good & whole, True)
+                if order == 1:
+                    head |= shifted(h, end_hash()) == end_hash()
+                yield _batch(np.unique(g[good & valid & head], return_counts=True), ["gram", "n"])
 
-    @property
-    def keys(self):
-        """Retained contexts."""
-        import numpy as np
+    return tokens.select("h").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= KEEP)
 
-        g, _, gamma = self.local()
-        return g[~np.isnan(gamma)]
 
-    def log10(self, vocabulary: Vocabulary, ids):
-        """log10 probability of each token after its context; of words outside the vocabulary, what stands before P0."""
-        return log10(self.local(), self.bits, vocabulary, ids, vocabulary.hashes()[ids])[0]
+def gram_parts(tokens: DataFrame, order: int, kept) -> DataFrame:
+    """(gram, context, tail) of the grams of order + 1 words that the filter `kept` may hold."""
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
 
-def sorted_entries(t):
-    """(grams, log_p, log_gamma), by gram; NaN for none. Repeated rows are one."""
-    import numpy as np
+        for b in batches:
+            for _, _, h, _ in slabs(b.column(0)):
+                (tail, _), (g, valid) = grams(h, order + 1)[-2:]
+                at = np.flatnonzero(valid & may_hold(kept.value, g))
+                some, first = np.unique(g[at], return_index=True)
+                yield _batch([some, shifted(tail, end_hash())[at[first]], tail[at[first]]], ["gram", "context", "tail"])
 
-    g = t["gram"].to_numpy().view(np.uint64)
-    keys, inverse = np.unique(g, return_inverse=True)
-    out = []
-    for name in ("log_p", "log_gamma"):
-        values = t[name].to_numpy().astype(float)  # null is NaN
-        some = ~np.isnan(values)
-        a = np.full(len(keys), np.nan)
-        a[inverse[some]] = values[some]
-        out.append(a)
-    return keys, *out
+    found = tokens.select("h").mapInArrow(run, "gram long, context long, tail long")
+    return found.groupBy("gram").agg(F.min("context").alias("context"), F.min("tail").alias("tail"))
 
 
-def log10(entries, bits, vocabulary: Vocabulary, ids, h):
-    """(log10 probabilities, whether a context knew the token); of unknown words outside the vocabulary, what stands before P0."""
-    import numpy as np
+class Hot:
+    """Values of the frequent grams, found by open addressing."""
 
-    keys, log_p, log_gamma = entries
-    ps, gammas = [], []
-    for g, valid in grams(h, ORDERS + 1):
-        p, gamma = np.full(len(g), np.nan), np.full(len(g), np.nan)
-        at = np.flatnonzero(valid & may_hold(bits, g)) if len(keys) else np.zeros(0, np.int64)
-        some, inverse = np.unique(g[at], return_inverse=True)
-        place = np.minimum(np.searchsorted(keys, some), max(0, len(keys) - 1))
-        hit = keys[place] == some if len(keys) else np.zeros(0, bool)
-        there, place = hit[inverse], place[inverse]
-        at, place = at[there], place[there]
-        p[at], gamma[at] = log_p[place], log_gamma[place]
-        ps.append(p)
-        gammas.append(gamma)
-    if len(keys) and len(ids):  # the first token stands after an end that is not among the tokens
-        k = np.searchsorted(keys, np.uint64(word_hash(END.encode())))
-        start = log_gamma[k] if k < len(keys) and keys[k] == np.uint64(word_hash(END.encode())) else np.nan
-    else:
-        start = np.nan
-    out, done = np.zeros(len(ids)), np.zeros(len(ids), bool)
-    valid = [v for _, v in grams(h, ORDERS + 1)]
-    for order in range(ORDERS, 0, -1):
-        p, gamma = ps[order], before(gammas[order - 1], start if order == 1 else np.nan)
-        hit = ~done & ~np.isnan(p)
-        out[hit] += p[hit]
-        done |= hit
-        down = ~done & valid[order] & ~np.isnan(gamma)
-        out[down] += gamma[down]
-    root = ~done & (ids != vocabulary.other)
-    out[root] += vocabulary.base[ids[root]]
-    return out, done
-
-
-FACTS = "uid long, doc_id long, token string, n long, known long, base double, score double"
-
-
-def chunked(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(chunk, uid, doc_id, t): rows numbered, and dealt into chunks of about CHUNK bytes."""
+    def __init__(self, keys, values, bases):
+        import numpy as np
 
-    def run(batches: Iterator) -> Iterator:
+        self.mask = np.uint64((1 << max(4, (2 * len(keys)).bit_length())) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
+        self.keys, self.values, self.bases = keys, values, bases
+        left, slot = np.arange(len(keys), dtype=np.int32), keys & self.mask
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]  # of those that want one slot, one gets it
+            lost = self.slots[slot] != left
+            left, slot = left[lost], (slot[lost] + np.uint64(1)) & self.mask
+
+    def __call__(self, g):
+        """The place of each gram, -1 for none."""
         import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
 
-        uid = chunk = TaskContext.get().partitionId() << 40
-        size = 0
-        for b in batches:
-            numbers = []
-            for n in (len(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()):
-                if size and size + n > CHUNK:
-                    chunk, size = chunk + 1, 0
-                size += n
-                numbers.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(np.arange(uid, uid + b.num_rows)), b.column(0), b.column(1)], ["chunk", "uid", "doc_id", "t"])
-            uid += b.num_rows
+        out = self.slots[g & self.mask]
+        if not len(self.keys):
+            return out
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != g))
+        slot = g[open_] & self.mask
+        while len(open_):
+            slot = (slot + np.uint64(1)) & self.mask
+            found = self.slots[slot]
+            out[open_] = found
+            more = (found >= 0) & (self.keys[found] != g[open_])
+            open_, slot = open_[more], slot[more]
+        return out
+
+
+@dataclass
+class Model:
+    """total, kinds: N and V. entries: (gram, n, value, base) of all words and of the tree's grams; base is what a known word
+    has over an unknown one, 0 for longer grams. bits: filter of the tree's grams of two words or more."""
+
+    total: int
+    kinds: int
+    entries: DataFrame
+    contexts: DataFrame
+    bits: Any
+    hot: Hot
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "chunk long, uid long, doc_id long, t string")
+    @property
+    def unknown(self) -> float:
+        """log10 probability, at the root, of a word that was never seen."""
+        return log10(0.5) - log10(self.total + 0.5 * (self.kinds + 1))
 
 
-def needed(rows: DataFrame, bits) -> DataFrame:
-    """(chunk, gram): what of the tree each chunk may need, once for each block of it."""
+def frequent(entries: DataFrame) -> Hot:
+    """The entries above the least count that leaves HOT of them at most, by a histogram of fixed size."""
+    import numpy as np
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    step = F.floor(F.log2("n") * 16)
+    bins = {r.bin: r.m for r in entries.groupBy(step.alias("bin")).agg(F.count(F.lit(1)).alias("m")).collect()}  # 16 for each power of 2
+    least, held = 64 * 16, 0
+    for b in sorted(bins, reverse=True):
+        held += bins[b]
+        if held > HOT:
+            break
+        least = b
+    found = entries.where(step >= least).select("gram", "value", "base").toArrow()
+    return Hot(np.ascontiguousarray(found["gram"].to_numpy()).view(np.uint64), found["value"].to_numpy(), found["base"].to_numpy())
 
-        def out(chunk, parts):
-            some = np.unique(np.concatenate(parts)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(some)], ["chunk", "gram"])
 
-        keep, now, parts = bits.value, None, []
-        for b in batches:
-            chunks = b.column(0).to_numpy()
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            edges = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(texts)] if texts else []
-            for x, y in zip(edges, edges[1:]):
-                if parts and chunks[x] != now:
-                    yield out(now, parts)
-                    parts = []
-                now = chunks[x]
-                end = np.array([word_hash(END.encode())], np.uint64)
-                for i, j in blocks(texts[x:y]):
-                    h = hashed([words_of(t) for t in texts[x + i : x + j]])
-                    parts.append(np.unique(np.concatenate([end, *(g[valid & may_hold(keep, g)] for g, valid in grams(h, ORDERS + 1))])))
-        if parts:
-            yield out(now, parts)
-
-    return rows.select("chunk", "t").mapInArrow(run, "chunk long, gram long")
-
-
-def local_scores(rows: DataFrame, tree: SuffixTree, vocabulary: Vocabulary) -> DataFrame:
-    """For each row one line with what the vocabulary scores (token null), and a line for each of its other words, `known` the times that no context knew it."""
-    sc = rows.sparkSession.sparkContext
-    bits, known_words = sc.broadcast(tree.bits), sc.broadcast(vocabulary)
-    entries = written(needed(rows, bits).join(tree.entries, "gram"), "pst-needed")
-
-    def run(left, right):
-        import numpy as np
-        import pyarrow as pa
+def fit(train: DataFrame, text: str = "text", id_col: str = "doc_id") -> Model:
+    return fit_encoded(written(encoded(train, text, id_col), "pst-tokens"))
+
+
+def fit_encoded(tokens: DataFrame) -> Model:
+    """The model of encoded rows: grown order by order. `p` of a gram: that of its last word after the longest retained context in it."""
+    spark = tokens.sparkSession
+    words = written(word_counts(tokens), "pst-words")
+    facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    denominator = float(facts.n + 0.5 * (facts.v + 1))
+    shorter = words.where(F.col("n") >= KEEP).select("gram", "n", ((F.col("n") + 0.5) / denominator).alias("p"))
+    parts, contexts, used = [], [], []
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        used.append(new_path(spark, f"pst-{name}"))
+        return written(df, name, used[-1])
 
-        v, found = known_words.value, sorted_entries(right)
-        names = ["uid", "doc_id", "token", "n", "known", "base", "score"]
-        out = []
-        texts = [t or b"" for t in left["t"].cast(pa.binary()).to_pylist()]
-        for start, end in blocks(texts):
-            lists, ids, h, sizes = v.encode(texts[start:end])
-            heads = np.cumsum(sizes) - sizes
-            known = ids != v.other
-            n = end - start
-            uids = left["uid"].slice(start, n).to_numpy()
-            logs, done = log10(found, bits.value, v, ids, h)
-            sums = [np.add.reduceat(a, heads) for a in (known.astype(np.int64) & (v.count[ids] > 0), np.where(known, v.base[ids], 0.0), logs)]
-            out.append(pa.table([pa.array(uids), left["doc_id"].slice(start, n), pa.nulls(n, pa.string()), pa.array(sizes), *map(pa.array, sums)], names))
-            number = v.number
-            owner, rare, times, rooted = [], [], [], []
-            by_context = iter(done[~known].tolist())
-            for u, words in zip(uids.tolist(), lists):
-                others = [w for w in words if w not in number]
-                c, root = Counter(others), Counter([w for w in others if not next(by_context)])
-                owner.extend([u] * len(c))
-                rare.extend(c)
-                times.extend(c.values())
-                rooted.extend([root[w] for w in c])
-            m = len(rare)
-            out.append(
-                pa.table(
-                    [pa.array(owner, pa.int64()), pa.nulls(m, pa.int64()), pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(rooted, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                    names,
-                )
-            )
-        if not out:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
-        return pa.concat_tables(out)
-
-    return rows.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(run, FACTS)
-
-
-def grown(train: DataFrame, counts: DataFrame, vocabulary: Vocabulary, text: str, name: str) -> SuffixTree:
-    """The tree, order by order. `p` of a gram: that of its last word after the longest retained context in it."""
-    spark = train.sparkSession
-    denominator = float(vocabulary.total + 0.5 * (vocabulary.kinds + 1))
-    shorter = written(word_grams(counts).select("gram", "n", ((F.col("n") + 0.5) / denominator).alias("p")), f"{name}-grams")
-    parts = []
     for order in range(1, ORDERS + 1):
         bits = spark.sparkContext.broadcast(bit_filter(shorter))
-        found = written(gram_counts(train, order, bits, text), f"{name}-grams")
+        found = step(gram_counts(tokens, order, bits), "found")
+        kept = spark.sparkContext.broadcast(bit_filter(found))
+        named = step(found.join(gram_parts(tokens, order, kept), "gram"), "named")
+        bits.unpersist()
+        kept.unpersist()
         # hot contexts and tails: both sides are written tables, whose partitions Spark can split
-        rows = found.join(shorter.select(F.col("gram").alias("tail"), F.col("p").alias("above")), "tail")
+        rows = named.join(shorter.select(F.col("gram").alias("tail"), F.col("p").alias("above")), "tail")
         rows = rows.join(shorter.select(F.col("gram").alias("context"), F.col("n").alias("all")), "context").select("gram", "context", "n", "all", "above")
-        rows = written(rows, f"{name}-rows")
+        rows = step(rows, "rows")
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("above")))
         sums = rows.groupBy("context").agg(F.max("all").alias("all"), F.sum("n").alias("kept"), F.sum("above").alias("of"), gain.alias("gain"), F.count(F.lit(1)).alias("m"))
         rest, rest_above = F.greatest(F.lit(0), F.col("all") - F.col("kept")), F.greatest(F.lit(1e-12), 1 - F.col("of"))
         more = F.when(rest > 0, rest * F.log(rest / F.col("all") / rest_above)).otherwise(0.0)
         inside = (F.col("kept") + MU * F.col("of")) / (F.col("all") + MU)
         gamma = F.greatest(F.lit(1e-12), 1 - inside) / rest_above
-        retained = sums.where(F.col("gain") + more > 0.5 * F.log("all") * F.col("m")).select("context", F.log10(gamma).alias("log_gamma"))
-        retained = written(retained, f"{name}-contexts")
+        retained = sums.where(F.col("gain") + more > 0.5 * F.log("all") * F.col("m")).select("context", F.col("all").alias("c_n"), F.log10(gamma).alias("log_gamma"))
+        contexts.append(written(retained, "pst-contexts"))
         smoothed = (F.col("n") + MU * F.col("above")) / (F.col("all") + MU)
-        kept = F.col("log_gamma").isNotNull()
-        judged = rows.join(retained, "context", "left").select("gram", "n", F.when(kept, smoothed).otherwise(F.col("above")).alias("p"), kept.alias("kept"))
-        shorter = written(judged, f"{name}-grams")
-        parts.append(shorter.where("kept").select("gram", F.log10("p").alias("log_p"), F.lit(None).cast("double").alias("log_gamma")))
-        parts.append(retained.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("log_p"), "log_gamma"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    entries = written(every.groupBy("gram").agg(F.max("log_p").alias("log_p"), F.max("log_gamma").alias("log_gamma")), f"{name}-tree")
-    return SuffixTree(entries, bit_filter(entries))
-
-
-def word_grams(counts: DataFrame) -> DataFrame:
-    """(gram, n) of all words with KEEP occurrences."""
+        is_kept = F.col("log_gamma").isNotNull()
+        judged = rows.join(contexts[-1].drop("c_n"), "context", "left")
+        judged = judged.select("gram", "n", F.when(is_kept, smoothed).otherwise(F.col("above")).alias("p"), F.when(is_kept, F.log10(smoothed / F.col("above")) - F.col("log_gamma")).alias("value"))
+        shorter = written(judged, "pst-grams")
+        parts.append(shorter.where("value is not null").select("gram", "n", "value"))
+        parts.append(contexts[-1].select(F.col("context").alias("gram"), F.col("c_n").alias("n"), F.col("log_gamma").alias("value")))
+        while used:
+            drop_path(spark, used.pop())
+    tree = reduce(DataFrame.union, parts)
+    every = tree.select("*", F.lit(0.0).alias("base")).union(words.select("gram", "n", F.lit(0.0).alias("value"), (F.log10(F.col("n") + 0.5) - log10(0.5)).alias("base")))
+    entries = written(every.groupBy("gram").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.sum("base").alias("base")), "pst-entries")
+    # contexts of one word are words, which are looked up without a filter
+    bits = bit_filter(reduce(DataFrame.union, [p.select("gram") for i, p in enumerate(parts) if i != 1]))
+    return Model(facts.n, facts.v, entries, reduce(DataFrame.union, contexts), bits, frequent(entries))
+
+
+FACTS = "uid long, doc_id long, gram long, n long, known long, base double, value double"
+
+
+def local_scores(tokens: DataFrame, model: Model) -> DataFrame:
+    """For each row one line with what the frequent grams give (gram null), and a line for each other gram of it that may be an entry."""
+    sc = tokens.sparkSession.sparkContext
+    hot, bits, unknown = sc.broadcast(model.hot), sc.broadcast(model.bits), model.unknown
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        values, bases, names = hot.value.values, hot.value.bases, ["uid", "doc_id", "gram", "n", "known", "base", "value"]
         for b in batches:
-            h = np.array([word_hash(w) for w in b.column(0).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1)], ["gram", "n"])
-
-    return counts.where(F.col("c") >= KEEP).select("token", "c").mapInArrow(run, "gram long, n long")
-
-
-def fit(train: DataFrame, text: str = "text", name: str = "pst"):
-    """((vocabulary, tree), table of all counts)."""
-    counts = written(unigrams(train, text), f"{name}-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
-    top = counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(VOCABULARY).toArrow()
-    vocabulary = Vocabulary([w.encode() for w in top["token"].to_pylist()], top["c"].to_pylist(), total.ends, total.n, total.v)
-    return (vocabulary, grown(train, counts, vocabulary, text, name)), counts
+            uids = b.column(0).to_numpy()
+            for start, end, h, sizes in slabs(b.column(2)):
+                owner = np.repeat(uids[start:end], sizes)
+                value, rare = np.zeros(len(h)), []
+                for m, (g, valid) in enumerate(grams(h, ORDERS + 1), 1):
+                    at = np.arange(len(h)) if m == 1 else np.flatnonzero(valid & may_hold(bits.value, g))
+                    place = hot.value(g[at])
+                    here = place >= 0
+                    value[at[here]] += values[place[here]]
+                    if m == 1:
+                        known, base = np.zeros(len(h), np.int64), np.full(len(h), unknown)
+                        known[here] = bases[place[here]] > 0
+                        base[here] += bases[place[here]]
+                    rare.append((owner[at[~here]], g[at[~here]]))
+                heads = np.cumsum(sizes) - sizes
+                sums = [np.add.reduceat(a, heads) for a in (known, base, value)]
+                n = end - start
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, n), b.column(1).slice(start, n), pa.nulls(n, pa.int64()), pa.array(sizes), *map(pa.array, sums)], names)
+                for who, what in rare:
+                    n = len(who)
+                    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(n, pa.int64()), pa.array(what.view(np.int64)), *none], names)
+
+    return tokens.select("uid", "doc_id", "h").mapInArrow(run, FACTS)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    return score_encoded(written(encoded(docs, text, id_col), "pst-tokens"), model)
 
 
-def score(docs: DataFrame, model, counts: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    vocabulary, tree = model
-    rows = written(chunked(docs, text, id_col), "pst-chunks")
-    facts = written(local_scores(rows, tree, vocabulary), "pst-facts")
-    denominator = float(vocabulary.log_denominator)
-    rare = facts.where(F.col("token").isNotNull()).select("uid", "token", "n", F.col("known").alias("rooted")).join(counts, "token", "left")
-    base = F.log10(F.coalesce("c", F.lit(0)) + 0.5) - denominator
-    rare = rare.groupBy("uid").agg(F.sum(F.col("n") * base).alias("rare_base"), F.sum(F.col("rooted") * base).alias("rare_score"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    joined = facts.where(F.col("token").isNull()).select("uid", "doc_id", "n", "known", "base", "score").join(rare, "uid", "left")
+def score_encoded(tokens: DataFrame, model: Model) -> DataFrame:
+    facts = written(local_scores(tokens, model), "pst-facts")
+    rare = facts.where("gram is not null").select("uid", "gram").join(model.entries.select("gram", F.col("base").alias("more"), "value"), "gram")
+    rare = rare.groupBy("uid").agg(F.sum("more").alias("rare_base"), F.sum("value").alias("rare_value"), F.sum((F.col("more") > 0).cast("long")).alias("rare_known"))
+    joined = facts.where("gram is null").select("uid", "doc_id", "n", "known", "base", "value").join(rare, "uid", "left")
+    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
     return joined.select(
         "doc_id",
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        F.lit(int(model.total)).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (base + F.col("value") + F.coalesce("rare_value", F.lit(0.0))).alias("score"),
     )
 
 
 def op6_suffix_tree(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    model, counts = fit(docs.where(fold(F.col("doc_id"), FOLDS) != HELD))
-    return score(docs, model, counts).select(
+    tokens = written(encoded(table(spark, sf_dir, "documents")), "pst-tokens")
+    model = fit_encoded(tokens.where(fold(F.col("doc_id"), FOLDS) != HELD))
+    return score_encoded(tokens, model).select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
