@@ -23,6 +23,20 @@ def session():
     )
 
 
+def bar(phase: str, done: int, total: int, width: int = 24) -> str:
+    """A line of progress, as wide for any counts."""
+    filled = width if not total else width * done // total
+    return f"[{'#' * filled}{'-' * (width - filled)}] {done} / {total} {phase}"
+
+
+def reporter_of(a: argparse.Namespace):
+    """What shows an update's progress on the error stream: a line for each phase with --verbose, one bar otherwise, or nothing."""
+    if a.quiet or a.no_progress:
+        return None
+    end = "\n" if a.verbose or not sys.stderr.isatty() else "\r"
+    return lambda phase, done, total: print(bar(phase, done, total), end=end, file=sys.stderr, flush=True)
+
+
 def csv(text: str) -> list[str]:
     return [p.strip() for p in text.split(",") if p.strip()]
 
@@ -79,12 +93,14 @@ def dump(value) -> str:
 
 def main(argv: list[str] | None = None) -> int:
     from .plans import answers, index
+    from .ship import ship
 
     a = parser().parse_args(argv)
     if not a.command:
         parser().print_help()
         return 0
     spark = session()
+    ship(spark)
     try:
         if a.command == "init":
             print(f"repository {index.init(spark, a.repo, a.index_dir)} is ready")
@@ -95,12 +111,13 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "compact":
             print(dump(index.compact(spark, a.index_dir)))
         elif a.command in ("update", "updateroot", "update-files"):
+            show = reporter_of(a)
             if a.command == "update":
-                s = index.update_staged(spark, a.index_dir)[1] if a.staged else index.update(spark, a.index_dir, a.lite)
+                s = index.update_staged(spark, a.index_dir, reporter=show)[1] if a.staged else index.update(spark, a.index_dir, a.lite, reporter=show)
             elif a.command == "updateroot":
-                s = index.update_root(spark, a.index_dir, a.include_file, a.exclude_file, a.repo_root, a.lite, a.staged)
+                s = index.update_root(spark, a.index_dir, a.include_file, a.exclude_file, a.repo_root, a.lite, a.staged, show)
             else:
-                s = index.update_files(spark, a.index_dir, a.repo_root, csv(a.files), a.lite, a.replace)
+                s = index.update_files(spark, a.index_dir, a.repo_root, csv(a.files), a.lite, a.replace, show)
             if not a.quiet:
                 print(dump(s) if a.format == "json" else show_update(s))
         elif a.command == "search":

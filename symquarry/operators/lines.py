@@ -19,10 +19,28 @@ def explode_lines(files: DataFrame, keys: list[str], content: str = "content", o
     lines = files.select(*keys, line_array(F.col(content)).alias("__lines"))
     if not offsets:
         return lines.select(*keys, F.posexplode("__lines").alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
-    exploded = lines.select(*keys, F.posexplode("__lines").alias("line_no", "text"))
-    w = W.partitionBy(*keys).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("text") + 1).over(w), F.lit(0)).cast("long")
-    return exploded.withColumn("char_start", start).withColumn("line_no", F.col("line_no") + 1)
+    sizes = F.transform("__lines", lambda t: (F.octet_length(t) + 1).cast("long"))
+    placed = F.transform(F.array(F.struct(F.col("__lines").alias("text"), sizes.alias("size"))), _with_starts)[0]
+    exploded = lines.select(*keys, F.posexplode(placed).alias("line_no", "__line"))
+    return exploded.select(*keys, (F.col("line_no") + 1).alias("line_no"), "__line.text", "__line.char_start")
+
+
+STEP = 256  # lines that are summed one by one
+
+
+def _with_starts(x: Column) -> Column:
+    """(text, char_start) of x's lines: a running total inside the row, by sums of STEP lines, without a shuffle."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, v: a + v)
+    whole = lambda i: (i / STEP).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), whole(F.size(x["size"]) - 1))), lambda k: total(F.slice(x["size"], k * STEP + 1, STEP)))
+    ahead = F.transform(F.array(runs), lambda r: F.transform(r, lambda _, k: total(F.slice(r, 1, k))))[0]
+
+    def placed(before: Column) -> Column:
+        return F.transform(
+            x["text"], lambda t, i: F.struct(t.alias("text"), (F.get(before, whole(i)) + total(F.slice(x["size"], whole(i) * STEP + 1, i % STEP))).alias("char_start"))
+        )
+
+    return F.transform(F.array(ahead), placed)[0]
 
 
 def snippet(lines: Column, start: Column, end: Column) -> Column:

@@ -6,6 +6,7 @@ DuckDB's and states the meaning independently of the operators.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -483,14 +484,14 @@ def relations_types(spark, sf_dir):
 
 @query(
     f"""WITH {SYM}, {TYPE_RELATIONS}, k AS (SELECT symbol_id AS type_id, name AS tn, qualified_name AS tq, relative_path AS tp FROM sym WHERE kind IN ('class', 'interface', 'struct', 'enum')),
-w AS (SELECT * FROM rel WHERE relation_type = 'returns_type' AND source % 4 = 0),
+w AS (SELECT * FROM rel WHERE relation_type = 'returns_type'),
 j AS (SELECT w.symbol_id, w.target_text, k.* FROM w JOIN k ON k.tn = w.target_text OR k.tq = w.target_text),
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY tq, tp, type_id) AS rank FROM j)
 SELECT symbol_id AS relation_id, target_text, type_id, tq AS type_qualified_name, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
 )
 def related_types_top5(spark, sf_dir):
     s = sym(spark, sf_dir)
-    wanted = s.where((F.col("kind") == "method") & (F.col("line_no") % 4 == 0) & T.relation_type_name(F.col("return_type"))).select(
+    wanted = s.where((F.col("kind") == "method") & T.relation_type_name(F.col("return_type"))).select(
         F.col("symbol_id").alias("relation_id"), F.lit("returns_type").alias("relation_type"), F.col("return_type").alias("target_text")
     )
     return R.related_types(wanted, s).select("relation_id", "target_text", "type_id", "type_qualified_name", "rank")
@@ -624,13 +625,39 @@ def enrichment_apply(spark, sf_dir):
 
 # ---- grammars without a table of their own: hand-written sources, one file each
 
-FIXTURES = Path(__file__).with_name("fixtures.txt")
+FIXTURES, EXPECTED = Path(__file__).with_name("fixtures.txt"), Path(__file__).with_name("expected.txt")
+
+
+def _parts(path: Path) -> dict[str, str]:
+    """Texts by file name; each stands under a line `=== name`."""
+    return {p.partition("\n")[0]: p.partition("\n")[2] for p in path.read_text(encoding="utf-8").split("=== ")[1:]}
 
 
 @query()
 def parse_all_grammars(spark, sf_dir):
     """Symbols of a small source in every supported language."""
-    text = FIXTURES.read_text(encoding="utf-8")
-    rows = [(p.partition("\n")[0], p.partition("\n")[2]) for p in text.split("=== ")[1:]]
-    files = spark.createDataFrame(rows, "relative_path string, content string")
+    files = spark.createDataFrame(list(_parts(FIXTURES).items()), "relative_path string, content string")
     return P.explode_symbols(P.parse_files(files, ["relative_path"]), ["relative_path"])
+
+
+def grammar_query(path: str, source: str, expected: str) -> tuple[Query, str]:
+    """A query that parses a copy of one source for each nation, and the SQL of the rows that were derived for it by hand."""
+
+    def run(spark, sf_dir):
+        nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+        files = nations.select(F.concat(F.col("n_nationkey").cast("string"), F.lit(f"/{path}")).alias("relative_path"), F.lit(source).alias("content"))
+        return P.explode_symbols(P.parse_files(files, ["relative_path"]), ["relative_path"]).select("relative_path", "kind", "name", "qualified_name", "line_start", "line_end")
+
+    rows = [re.fullmatch(r"(\S+) (.*) \[(.*)\] (\d+)-(\d+)", r).groups() for r in expected.splitlines()]
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    values = ", ".join(f"({text(kind)}, {text(name)}, {text(qualified)}, {first}, {last})" for kind, name, qualified, first, last in rows)
+    if not rows:
+        values = "('', '', '', 0, 0)"
+    sql = f"""SELECT n_nationkey || {text("/" + path)} AS relative_path, kind, name, qualified_name, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end
+FROM nation CROSS JOIN (VALUES {values}) AS v(kind, name, qualified_name, line_start, line_end) WHERE kind <> ''"""
+    return run, sql
+
+
+for _path, _rows in _parts(EXPECTED).items():
+    _name = "grammar_" + re.sub(r"\W+", "_", _path).lower()
+    QUERIES[_name], ORACLES[_name] = grammar_query(_path, _parts(FIXTURES)[_path], _rows)

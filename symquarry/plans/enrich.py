@@ -73,7 +73,7 @@ def provider_of(config: dict) -> Provider:
         return NullProvider()
     if config.get("provider", "openai-compatible") != "openai-compatible":
         raise ValueError(f"unsupported provider: {config['provider']}")
-    return ChatProvider(config.get("endpoint", ""), config.get("model", ""), config.get("api_key", ""))
+    return ChatProvider(config.get("endpoint", ""), config.get("model", ""), os.environ.get(config["api_key_env"], "") if config.get("api_key_env") else config.get("api_key", ""))
 
 
 def pending(symbols: DataFrame) -> DataFrame:
@@ -83,14 +83,20 @@ def pending(symbols: DataFrame) -> DataFrame:
 
 
 def run_provider(symbols: DataFrame, provider: Provider, key: str = "id") -> DataFrame:
-    """One request per symbol, on the executors; an empty description is a failure and keeps the symbol pending."""
-    columns = [key, "kind", "name", "qualified_name", "signature"]
+    """One request per symbol, on the executors. An empty description, or a request that fails, keeps the symbol pending."""
+    columns = [key, "kind", "name", "qualified_name", "signature", *(c for c in ("relative_path", "line_start") if c in symbols.columns)]
+
+    def asked(symbol: dict) -> tuple[str, str]:
+        try:
+            return provider.enrich(symbol)
+        except (OSError, ValueError, KeyError, IndexError):  # no answer, or one that is not as agreed
+            return "", ""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            rows = [(r[key], *provider.enrich(r), provider.model) for r in batch.to_dict("records")]
+            rows = [(r[key], *asked(r), provider.model) for r in batch.to_dict("records")]
             yield pd.DataFrame(rows, columns=["symbol_id", "description", "tags", "model"])
 
     return symbols.select(*columns).mapInPandas(run, RESULT)

@@ -74,7 +74,8 @@ def update(
 ) -> dict:
     """Bring the index up to date with the tree, or with chosen files (an open set unless closed). Returns the summary.
 
-    Only changed files are parsed: the join on path and hash comes before the parser. One version is published at the end.
+    Only changed files are parsed: the join on path and hash comes before the parser. One version is published at the end;
+    without a change only the time of the update is written. reporter: called with (phase, files done, files in all).
     """
     started = time.time()
     store = Store(spark, os.path.realpath(index_dir))
@@ -89,6 +90,8 @@ def update(
     else:
         scan, discovered, ignored = tree.scan_files(spark, repo["repo_root"], files), len(files), 0
     scan = scan.persist()
+    report = reporter or (lambda phase, done, total: None)
+    report("scanned", discovered, discovered)
     stored_all, symbols_all = store.read("files"), store.read("symbols")
     mine = F.col("repository_id") == repo["id"]
     stored = stored_all.where(mine)
@@ -97,6 +100,8 @@ def update(
     classified = D.classify(scan, stored, closed).persist()
     summary = D.summary(classified).first().asDict()
     changed = summary["added"] + summary["modified"] + summary["deleted"]
+    waiting = summary["added"] + summary["modified"] + (summary["unchanged"] if force else 0)
+    report("parsed", 0, waiting)
     snapshots = store.read("snapshots")
     snapshot = 0 if lite or not changed else (snapshots.agg(F.max("id")).first()[0] or 0) + 1
     now = F.current_timestamp()
@@ -179,6 +184,8 @@ def update(
                 id_of(F.lit(repo["id"]), "path").alias("entity_id"), "change_type", "old_hash", "new_hash", "old_path", "new_path", now.alias("created_at"),
             )
             tables["changes"] = store.read("changes").unionByName(log)
+    if not changed and not force and not lite:
+        tables = {}  # nothing to rewrite
     repos = store.read("repositories")
     tables["repositories"] = repos.withColumn("last_indexed_at", F.when(F.col("id") == repo["id"], now).otherwise(F.col("last_indexed_at")))
     store.publish(tables)
@@ -186,6 +193,7 @@ def update(
     bad = [r.id for r in parsed.where("failed").select("id").collect()]  # files whose parser raised
     source_bytes = scan.agg(F.sum("size_bytes")).first()[0] or 0
     parsed_files, seen = done.count(), to_parse.count()
+    report("parsed", seen, waiting)
     symbols_after = store.read("symbols").where(mine & F.col("is_active")).count()
     for df in (scan, classified, parsed, exploded):
         df.unpersist()
@@ -198,20 +206,20 @@ def update(
     }
 
 
-def update_files(spark: SparkSession, index_dir: str, repo_root: str, files: list[str], lite: bool = False, replace: bool = False) -> dict:
+def update_files(spark: SparkSession, index_dir: str, repo_root: str, files: list[str], lite: bool = False, replace: bool = False, reporter=None) -> dict:
     """Update chosen files; other files stay as they are, or are deleted with replace. Makes the index if needed."""
     store = Store(spark, os.path.realpath(index_dir)) if os.path.isdir(index_dir) else None
     if store is None or not store.exists() or repository(store)["repo_root"] != os.path.realpath(repo_root):
         init(spark, repo_root, index_dir)
-    return update(spark, index_dir, lite, files=files, closed=replace)
+    return update(spark, index_dir, lite, files=files, closed=replace, reporter=reporter)
 
 
-def update_staged(spark: SparkSession, index_dir: str, include: list[str] = (), exclude: list[str] = ()) -> tuple[dict, dict]:
+def update_staged(spark: SparkSession, index_dir: str, include: list[str] = (), exclude: list[str] = (), reporter=None) -> tuple[dict, dict]:
     """A quick lite version first, then a full one; each is published whole."""
-    return update(spark, index_dir, True, include, exclude), update(spark, index_dir, False, include, exclude, force=True)
+    return update(spark, index_dir, True, include, exclude, reporter=reporter), update(spark, index_dir, False, include, exclude, force=True, reporter=reporter)
 
 
-def update_root(spark: SparkSession, index_dir: str, include_file: str | None = None, exclude_file: str | None = None, root: str | None = None, lite: bool = False, staged: bool = False):
+def update_root(spark: SparkSession, index_dir: str, include_file: str | None = None, exclude_file: str | None = None, root: str | None = None, lite: bool = False, staged: bool = False, reporter=None):
     """Index what a list of paths names; the repository is their common root unless given."""
     include = tree.read_path_list(include_file) if include_file else []
     exclude = tree.read_path_list(exclude_file) if exclude_file else []
@@ -220,7 +228,7 @@ def update_root(spark: SparkSession, index_dir: str, include_file: str | None =
     store = Store(spark, os.path.realpath(index_dir))
     if not store.exists() or repository(store)["repo_root"] != root:
         init(spark, root, index_dir)
-    return update_staged(spark, index_dir, include, exclude)[1] if staged else update(spark, index_dir, lite, include, exclude)
+    return update_staged(spark, index_dir, include, exclude, reporter)[1] if staged else update(spark, index_dir, lite, include, exclude, reporter=reporter)
 
 
 def status(spark: SparkSession, index_dir: str) -> dict:

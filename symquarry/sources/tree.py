@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,11 @@ def with_statistics(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+def literal(path: str) -> str:
+    """path, with the signs that the reader takes for patterns escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(files, counts). files: relative_path, absolute_path, extension, last_modified_time, content and statistics.
     counts: one row (discovered, ignored); ignored directories count once each, files inside them not at all.
@@ -99,7 +105,7 @@ def scan(spark: SparkSession, root: str, include: list[str] = (), exclude: list[
     if not roots:
         raw = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     else:
-        raw = reader.load([f"file://{r}" for r in roots])
+        raw = reader.load([f"file://{literal(r)}" for r in roots])
     absolute = F.regexp_replace("path", "^file:/+", "/")
     listed = raw.withColumn("absolute_path", absolute)
     above = F.lit(root.rstrip("/") + "/")

@@ -6,7 +6,7 @@ import pytest
 
 from symquarry.operators.grammar import Walk, parameters, split_lines
 from symquarry.operators.languages import BY_EXTENSION, BY_NAME, grammar_of, language_of, parse
-from symquarry.plans.catalog import FIXTURES
+from symquarry.plans.catalog import EXPECTED, FIXTURES, _parts
 
 
 def rows(path, text):
@@ -53,6 +53,13 @@ def test_symbols(path):
     assert "; ".join(got) == CASES[path]
 
 
+@pytest.mark.parametrize("path", _parts(EXPECTED))
+def test_expected_rows(path):
+    """All hand-derived rows, which are also the SQL of the grammar queries."""
+    _, got = rows(path, sources()[path])
+    assert got == _parts(EXPECTED)[path].splitlines() and CASES.get(path, "; ".join(got)) == "; ".join(got)
+
+
 def test_csharp_details():
     _, s = parse("a.cs", sources()["a.cs"].encode())
     assert s[1]["base_types"] == ["B", "IX"] and s[1]["visibility"] == "public"

@@ -170,3 +170,51 @@ def test_updateroot_reads_path_lists(spark, repo, tmp_path):
     (tmp_path / "in.txt").write_text(f'# roots\n"{root}/src"\n\n')
     s = I.update_root(spark, index, str(tmp_path / "in.txt"))
     assert s["added"] == 2 and s["repo_root"] == f"{root}/src"
+
+
+def test_names_with_pattern_signs_are_names(spark, tmp_path):
+    from symquarry.sources import tree
+
+    (tmp_path / "src[a]").mkdir()
+    for n in ("[id].ts", "a*b.py", "{x}.py", "q?.py", "i.ts", "ab.py"):
+        (tmp_path / "src[a]" / n).write_text("x = 1\n")
+    chosen = [f"src[a]/{n}" for n in ("[id].ts", "a*b.py", "{x}.py", "q?.py")]
+    assert {r.relative_path for r in tree.scan_files(spark, str(tmp_path), chosen).collect()} == set(chosen)
+
+
+def test_an_update_without_changes_writes_no_rows_and_reports(spark, tmp_path):
+    from symquarry.cli import bar
+    from symquarry.plans import index as I
+    from symquarry.plans.store import Store
+
+    root, at = tmp_path / "r", str(tmp_path / "i")
+    root.mkdir()
+    (root / "a.py").write_text("def f():\n    pass\n")
+    I.init(spark, str(root), at)
+    seen = []
+    I.update(spark, at, reporter=lambda *x: seen.append(x))
+    assert seen == [("scanned", 1, 1), ("parsed", 0, 1), ("parsed", 1, 1)]
+    store = Store(spark, at)
+    before = store.read("symbols").inputFiles()
+    again = I.update(spark, at)
+    assert again["unchanged"] == 1 and again["symbols_after"] == 1 and Store(spark, at).read("symbols").inputFiles() == before
+    assert bar("parsed", 1, 4, 8) == "[##------] 1 / 4 parsed" and bar("parsed", 0, 0, 2) == "[##] 0 / 0 parsed"
+
+
+def test_failed_requests_leave_symbols_pending_and_keys_come_from_the_environment(spark, monkeypatch):
+    from symquarry.plans import enrich as E
+
+    class broken:
+        model = "m"
+
+        def enabled(self):
+            return True
+
+        def enrich(self, symbol):
+            assert symbol["relative_path"] == "a.py"
+            raise OSError("no answer")
+
+    df = spark.createDataFrame([(1, "f", "g", "g", "s", "a.py", 3)], "id long, kind string, name string, qualified_name string, signature string, relative_path string, line_start int")
+    assert [(r.symbol_id, r.description) for r in E.run_provider(df, broken()).collect()] == [(1, "")]
+    monkeypatch.setenv("SOME_KEY", "k")
+    assert E.provider_of({"enabled": True, "endpoint": "http://x", "api_key_env": "SOME_KEY"}).key == "k"
