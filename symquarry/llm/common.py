@@ -56,6 +56,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def counted_out(df: DataFrame, first: str, n: str, name: str, step: int = 10_000) -> DataFrame:
+    """A row for each number from column `first` on, `n` of them, as `name`. No array holds more than `step` numbers or runs of them."""
+    runs = df.withColumn("__run", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {step})")))
+    return runs.withColumn(name, F.explode(F.expr(f"sequence({first} + __run * {step}, {first} + least({n}, (__run + 1) * {step}) - 1)"))).drop("__run")
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
+TEXT_BYTES = 1 << 20
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int):
     """Up to `per_class` labelled (doc_id, text, y) rows of each class outside the held-out fold, as an Arrow table,
     and the number of labelled rows of each class outside it.
 
     The rows with the smallest hashes of their ids are taken, so the sample is the same on every run. Only labels
-    are ordered; the ids found (2 * per_class at most) are broadcast to the documents.
+    are ordered; the ids found (2 * per_class at most) are broadcast to the documents. Of rows with one id the least text
+    is taken, and texts of over TEXT_BYTES are not learnt from, so rows and bytes are bounded.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     known = known.where(fold(F.col("doc_id"), folds) != held)
@@ -22,7 +25,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     picked = known.where("y = 0").orderBy(order, "doc_id").limit(per_class).union(known.where("y = 1").orderBy(order, "doc_id").limit(per_class))
     ids = picked.groupBy("doc_id").agg(F.max("y").alias("y"))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(ids), "doc_id").toArrow()
+    found = texts.where(F.octet_length("text") <= TEXT_BYTES).join(F.broadcast(ids), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow()
     return rows.sort_by("doc_id"), (counts.get(0, 0), counts.get(1, 0))
 
 

@@ -155,9 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds:
 
 
 def with_scores(docs: DataFrame, machine, text: str = "text", column: str = "score", keep_text: bool = True) -> DataFrame:
-    """docs with a score for each row; without the text where it isn't needed again."""
+    """docs with a score for each row, in place of any column of that name; without the text where it isn't needed again."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    docs = docs.drop(column)
     model = docs.sparkSession.sparkContext.broadcast(machine)
     where = docs.columns.index(text)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != where]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import written
+from .common import counted_out, written
 
 CELLS, VNODES = 4096, 64
 
@@ -91,7 +91,7 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", id_col: str = "
     runs = written(deal(rows.groupBy("cell").agg(F.sum("n").alias("n")), shards, vnodes, cells), "sharding-runs")
     inside = W.partitionBy("cell").orderBy("spot", "doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
     ranked = rows.withColumn("start", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    ranked = ranked.withColumn("rank", F.explode(F.expr("sequence(start, start + n - 1)")))
+    ranked = counted_out(ranked, "start", "n", "rank")
     placed = ranked.join(F.broadcast(runs), "cell").where("rank >= first and rank < first + len")  # runs: bounded by the ring
     return placed.select(
         "doc_id",

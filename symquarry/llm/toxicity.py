@@ -211,9 +211,10 @@ def fit(ids, texts: list[bytes], y, counts: tuple[int, int]) -> Scorer:
 
 
 def with_scores(docs: DataFrame, scorer: Scorer, text: str = "text", column: str = "score") -> DataFrame:
-    """docs with a score for each row."""
+    """docs with a score for each row, in place of any column of that name."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    docs = docs.drop(column)
     model = docs.sparkSession.sparkContext.broadcast(scorer)
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
     where = docs.columns.index(text)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import counted_out, new_path
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed values: RFC 4648 base32
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -69,7 +69,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
     each = rows.groupBy("page_id", "url", "digest").agg(F.count(F.lit(1)).alias("copies"))
     each.write.option("compression", "zstd").parquet(f"{path}/rows")
     each = spark.read.schema(each.schema).parquet(f"{path}/rows")
-    joined = each.join(known, "digest").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    joined = counted_out(each.join(known, "digest").withColumn("one", F.lit(1).cast("long")), "one", "copies", "copy")
     leads = F.expr("copy = 1 and page_id <=> first.page_id and url <=> first.url")
     kind = F.when((F.col("length") < min_revisit) | leads, F.lit("response")).otherwise(F.lit("revisit"))
     records = joined.withColumn("kind", kind).select(
