@@ -18,8 +18,12 @@ Benjamini-Hochberg over the ordinary-text p-values of all candidates of the inpu
 histogram of fixed size, keeps the share of false discoveries at `FALSE_DISCOVERY`. Runs found both ways
 become spans of kind `random`, unless they overlap a span of the patterns.
 
-Nulls: a null text is empty. Texts without matches have empty span strings. Rows are independent: ties and
-repeated rows each get their row; empty tables give empty results; extra columns are ignored.
+Work is linear in a text and its matches, however many. Runs under MIN_RUN characters aren't tested: they cannot give
+enough evidence to pass among all words of a corpus.
+
+Nulls: a null text is empty. Texts without matches have empty span strings. Rows share nothing but the cut of the
+false-discovery control, which depends on all candidates; repeated rows each get their row; empty tables give empty
+results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,27 +84,63 @@ LETTER_PAIRS = "".join(
         "PSS`OgW[X^YX[g`[_\\TS5Zggg[",
     ]
 )
+STEP = 256  # values that a running total combines one by one
+PIECE = 4096  # characters of a text that are cut out together
 BIN = 0.05  # width of the histogram of -ln p
 LAST_BIN = 2000
 
 SPAN = "array<struct<start:bigint,end:bigint,kind:int,match:string>>"
 
 
+def named(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine, zero) -> Column:
+    """For each value, what `combine` makes of those before it.
+
+    Values are combined in runs of STEP, and those before a run by runs: about STEP steps a value for millions of them.
+    """
+    fold = lambda part: F.aggregate(part, F.lit(zero).cast("bigint"), combine)
+    direct = lambda of: F.transform(of, lambda _, i: fold(F.slice(of, 1, i)))
+    runs = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / STEP).cast("int")), lambda k: fold(F.slice(values, k * STEP + 1, STEP)))
+    within = lambda ahead: F.transform(values, lambda _, i: combine(F.get(ahead, (i / STEP).cast("int")), fold(F.slice(values, (i / STEP).cast("int") * STEP + 1, i % STEP))))
+    return named(named(runs, direct), within)
+
+
+def added(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
 def spans_of(text: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches whose group has `least` characters; code points."""
-    found, tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    extract = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+
+    def placed(x: Column) -> Column:
+        def one(begins: Column) -> Column:
+            def span(f: Column, i: Column) -> Column:
+                begin = F.get(begins, i) + F.char_length(F.get(x["gaps"], i))
+                return F.struct(begin.alias("start"), (begin + F.char_length(f)).alias("end"), F.lit(kind).alias("kind"), f.alias("match"), F.char_length(F.get(x["tested"], i)).alias("size"))
+
+            return F.transform(F.filter(F.transform(x["found"], span), lambda s: s["size"] >= least), lambda s: s.dropFields("size"))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = (a["at"] + F.char_length(x["gap"])).cast("bigint")
-        end = (begin + F.char_length(x["found"])).cast("bigint")
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["found"].alias("match"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["tested"]) >= least, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+        lengths = F.transform(x["found"], lambda f, i: (F.char_length(f) + F.char_length(F.get(x["gaps"], i))).cast("bigint"))
+        return named(lengths, lambda n: named(running(n, added, 0), one))
 
-    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("found"), tested.alias("tested"))
-    walked = F.aggregate(F.filter(zipped, lambda x: x["found"].isNotNull()), first, step)["out"]
-    return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(walked)
+    def spans(found: Column) -> Column:
+        parts = F.struct(found.alias("found"), (extract(group) if group else found).alias("tested"), F.split(text, pattern, -1).alias("gaps"))
+        return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(named(parts, placed).cast(SPAN))
+
+    return named(extract(0), spans)
 
 
 def upper_tail(z: Column) -> Column:
@@ -113,8 +153,11 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct(encoding, p_uniform, p_ordinary) of one run of characters."""
-    body = F.rtrim(F.translate(token, "-_=", "+/ "))
+    """struct(encoding, p_uniform, ordinary_nats) of one run of characters."""
+    return named(F.rtrim(F.translate(token, "-_=", "+/ ")), _inferred)
+
+
+def _inferred(body: Column) -> Column:
     encoding = (
         F.when(body.rlike("^(?=.*[0-9])(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
         .when(body.rlike("^[A-Z2-7]+$"), "base32")
@@ -123,23 +166,33 @@ def battery(token: Column) -> Column:
         .when(body.rlike("^[a-z0-9]+$"), "base36")
         .otherwise("base64")
     )
-    cased = F.when(encoding == "hex", F.lower(body)).when(encoding != "base64", F.upper(body)).otherwise(body)
-    alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), encoding)
-    size = F.length(alphabet)
-    n = F.length(cased)
-    at = F.transform(F.sequence(F.lit(1), n), lambda i: (F.instr(alphabet, F.substring(cased, i, F.lit(1))) - 1).cast("double"))
-    kind = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.when(F.substring(cased, i, F.lit(1)).between("a", "z"), 1).when(F.substring(cased, i, F.lit(1)).between("A", "Z"), 2).when(F.substring(cased, i, F.lit(1)).between("0", "9"), 3).otherwise(4),
-    )
-    letter = F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.lower(F.substring(cased, i, F.lit(1)))) - 97)
-    # each value is named once, so that none is computed twice
-    named = F.struct(n.cast("double").alias("n"), size.cast("double").alias("size"), at.alias("at"), kind.alias("kind"), letter.alias("letter"), encoding.alias("encoding"))
-    return F.transform(F.array(named), _statistics)[0]
+
+    def spelled(e: Column) -> Column:
+        cased = F.when(e == "hex", F.lower(body)).when(e != "base64", F.upper(body)).otherwise(body)
+        alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), e)
+        return named(F.struct(e.alias("encoding"), F.split(cased, "").alias("chars"), alphabet.alias("alphabet")), _measured)
+
+    return named(encoding, spelled)
+
+
+def _measured(x: Column) -> Column:
+    """Each value is named once, so that none is computed twice."""
+    chars, size = x["chars"], F.length(x["alphabet"])
+    at = F.transform(chars, lambda c: (F.instr(x["alphabet"], c) - 1).cast("double"))
+    kind = F.transform(chars, lambda c: F.when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).when(c.between("0", "9"), 3).otherwise(4))
+    letter = F.transform(chars, lambda c: F.ascii(F.lower(c)) - 97)
+    high = F.transform(chars, lambda c: F.instr(x["alphabet"], c) * 2 - 2 >= size)
+    return named(
+        F.struct(
+            F.size(chars).cast("double").alias("n"), size.cast("double").alias("size"), at.alias("at"), kind.alias("kind"), letter.alias("letter"),
+            high.alias("high"), x["encoding"].alias("encoding"),
+        ),
+        _statistics,
+    )
 
 
 def _statistics(x: Column) -> Column:
-    n, size, at = x["n"], x["size"], x["at"]
+    n, size, at, high = x["n"], x["size"], x["at"], x["high"]
     steps = F.sequence(F.lit(1), n.cast("int") - 1)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
     ones = lambda c: total(F.transform(c, lambda v: v.cast("double")))
@@ -161,7 +214,6 @@ def _statistics(x: Column) -> Column:
     three = off(letters, F.lit(26 / 64)) + off(capitals, F.lit(26 / 64)) + off(others, F.lit(12 / 64))
     p_class = F.when(size == 64, F.exp(-three / 2)).otherwise(2 * upper_tail(F.sqrt(two)))
 
-    high = F.transform(at, lambda v: v * 2 >= size)
     up = ones(high)
     down = n - up
     runs = 1 + ones(F.transform(steps, lambda i: F.get(high, i) != F.get(high, i - 1)))
@@ -176,7 +228,7 @@ def _statistics(x: Column) -> Column:
     # ln P of each character under the encoding over that in ordinary text, which changes class at SWITCH_RATE
     def cost(i: Column) -> Column:
         now, was = F.get(x["kind"], i), F.get(x["kind"], i - 1)
-        pair = (F.ascii(F.substring(F.lit(LETTER_PAIRS), F.get(x["letter"], i - 1) * 26 + F.get(x["letter"], i) + 1, F.lit(1))) - 48) / 10.0
+        pair = (F.ascii(F.get(F.split(F.lit(LETTER_PAIRS), ""), F.get(x["letter"], i - 1) * 26 + F.get(x["letter"], i))) - 48) / 10.0
         inside = F.when(now <= 2, pair).when(now == 3, math.log(10)).otherwise(math.log(2))
         entered = F.when(now <= 2, math.log(26)).when(now == 3, math.log(10)).otherwise(math.log(2))
         return F.when(now == was, inside - math.log(1 - SWITCH_RATE)).otherwise(entered - math.log(SWITCH_RATE / 3))
@@ -213,17 +265,38 @@ def with_secrets(docs: DataFrame, text: str = "text", name: str = "secrets") ->
 
 def _judged(found: DataFrame) -> DataFrame:
     judged = found.crossJoin(F.broadcast(discovery_threshold(found)))  # one row
-    free = lambda c: ~F.exists("__base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    random = F.filter("__candidates", lambda c: (c["test"]["p_uniform"] >= UNIFORM_LEVEL) & (c["test"]["ordinary_nats"] >= F.col("__least_nats")) & free(c))
-    extra = F.transform(random, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(3).alias("kind")))
-    every = F.array_sort(F.concat("__base", F.coalesce(extra, F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))), _by_start_and_kind)
+    blank = lambda t: F.lit(None).cast(t)
+    base = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), blank("double").alias("uniform"), blank("double").alias("nats")))
+    candidates = F.transform(
+        "__candidates", lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"), c["test"]["p_uniform"].alias("uniform"), c["test"]["ordinary_nats"].alias("nats"))
+    )
+    random = F.filter(candidates, lambda c: (c["uniform"] >= UNIFORM_LEVEL) & (c["nats"] >= F.col("__least_nats")))
+    every = named(F.sort_array(F.concat(base, random)), _free)
     return judged.withColumn("__secrets", every).drop("__base", "__candidates", "__least_nats")
 
 
-def _by_start_and_kind(a: Column, b: Column) -> Column:
-    return F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(
-        F.when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0)
-    )
+def _free(spans: Column) -> Column:
+    """(start, end, kind) of spans, which are sorted by start and kind, without random ones that overlap another kind."""
+    far = (1 << 63) - 1
+    fixed = lambda s: s["kind"] < 3
+    before = running_over(spans, lambda s: F.when(fixed(s), s["end"]).otherwise(0), larger, 0)
+    after = F.reverse(running_over(F.reverse(spans), lambda s: F.when(fixed(s), s["start"]).otherwise(far), smaller, far))
+
+    def marked(x: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            free = fixed(s) | ((F.get(x["before"], i) <= s["start"]) & (F.get(x["after"], i) >= s["end"]))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), free.alias("free"))
+
+        return F.transform(F.filter(F.transform(spans, one), lambda s: s["free"]), lambda s: s.dropFields("free"))
+
+    # texts without a candidate left, and those with nothing else, need no look at overlaps
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    mixed = F.exists(spans, fixed) & F.exists(spans, lambda s: ~fixed(s))
+    return F.when(mixed, named(F.struct(before.alias("before"), after.alias("after")), marked)).otherwise(plain)
+
+
+def running_over(spans: Column, value, combine, zero) -> Column:
+    return named(F.transform(spans, lambda s: value(s).cast("bigint")), lambda v: running(v, combine, zero))
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
@@ -231,16 +304,38 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
     columns = docs.columns
     marked = with_secrets(docs, text, "redact")
     t = F.col(text)
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    secrets = F.col("__secrets")
+
+    def masked(cut) -> Column:
+        """cut(a, b): the characters from a up to b, to the end if b is None."""
+
+        def joined(x: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                at = F.get(x["before"], i)
+                return F.when(s["start"] >= at, F.concat(cut(at, s["start"]), F.lit(mask))).otherwise("")
+
+            last = F.greatest(F.element_at(x["before"], -1), F.element_at(secrets, -1)["end"])
+            return F.concat(F.array_join(F.transform(secrets, one), ""), cut(last, None))
+
+        return named(F.struct(running_over(secrets, lambda s: s["end"], larger, 0).alias("before")), joined)
+
+    def by_pieces(pieces: Column) -> Column:
+        whole = F.char_length(t).cast("bigint")
+
+        def cut(a: Column, b: Column | None) -> Column:
+            b = whole if b is None else b
+            first, last = (a / PIECE).cast("int"), (b / PIECE).cast("int")
+            inside = F.substring(F.get(pieces, first), (a % PIECE + 1).cast("int"), (b - a).cast("int"))
+            head = F.substring(F.get(pieces, first), (a % PIECE + 1).cast("int"), F.lit(PIECE))
+            tail = F.coalesce(F.substring(F.get(pieces, last), F.lit(1), (b % PIECE).cast("int")), F.lit(""))
+            across = F.concat(F.coalesce(head, F.lit("")), F.array_join(F.slice(pieces, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), tail)
+            return F.when(first == last, F.coalesce(inside, F.lit(""))).otherwise(across)
 
-    def step(a: Column, s: Column) -> Column:
-        inside = s["start"] < a["at"]
-        kept = F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(kept).alias("out"))
+        return masked(cut)
 
-    done = F.aggregate("__secrets", first, step)
-    rest = F.transform(F.array(done), lambda d: F.concat(d["out"], F.substring(t, (d["at"] + 1).cast("int"), F.char_length(t))))[0]
-    return marked.withColumn(text, F.when(F.size("__secrets") > 0, rest).otherwise(t)).select(*columns)
+    # a character's place is counted from the start of its string, so texts with secrets are cut into pieces first
+    done = named(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), by_pieces)
+    return marked.withColumn(text, F.when(F.size(secrets) == 0, t).otherwise(done)).select(*columns)
 
 
 def secret_report(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
