@@ -16,7 +16,8 @@ RUN windows of it.
 Only window hashes of the documents are exploded, and they meet the benchmark's distinct hashes in a
 broadcast join while those number BROADCAST_WINDOWS at most (counted first); beyond that both are shuffled.
 What follows has matched windows only. Items of SHORT to WIDTH - 1 words are one window of their own length;
-shorter ones have no template and match nothing.
+those of 2 to SHORT - 1 words have no template and are one plain window, matched exactly. An item of a single word, or
+of none, matches nothing.
 
 Nulls: null texts are empty and match nothing; rows with a null id are matched like others. Repeated rows,
 and items with equal texts, are each reported; equal (id, text) rows once. Empty tables give empty results.
@@ -128,8 +129,8 @@ def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("t"), F.xxhash64("item_id", "text").alias("item_key"))
     length = F.size(template_words(F.col("t")))
-    sized = items.select("*", F.least(length, F.lit(WIDTH)).alias("w")).where(F.col("w") >= SHORT)
-    widths = sorted(r.w for r in sized.select("w").distinct().collect())  # SHORT to WIDTH: a few values
+    sized = items.select("*", F.least(length, F.lit(WIDTH)).alias("w")).where(F.col("w") >= 2)
+    widths = sorted(r.w for r in sized.select("w").distinct().collect())  # 2 to WIDTH: a few values
     parts = [windows(sized.where(F.col("w") == w), ["item_id", "item_key"], F.col("t"), [w], every=True) for w in widths]
     if not parts:
         parts = [windows(sized, ["item_id", "item_key"], F.col("t"), [WIDTH], every=True)]
@@ -141,7 +142,9 @@ def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     judged = every.withColumn("ordinary", spare)
     # an item whose values leave no template is searched by all its plain windows, values included
     dense = ~F.max("ordinary").over(W.partitionBy("item_key"))
-    usable = judged.withColumn("dense", dense).where((literal & F.col("ordinary")) | (F.col("dense") & (F.col("view") == 2))).drop("ordinary", "dense")
+    templated = (F.col("width") >= SHORT) & literal & F.col("ordinary")
+    exact = (F.col("dense") | (F.col("width") < SHORT)) & (F.col("view") == 2)
+    usable = judged.withColumn("dense", dense).where(templated | exact).drop("ordinary", "dense")
     usable = usable.dropDuplicates(["item_key", "view", "pos", "width"])
     totals = usable.groupBy("item_key", "view").agg(F.count(F.lit(1)).alias("total"))
     return usable.join(totals, ["item_key", "view"]), widths or [WIDTH]

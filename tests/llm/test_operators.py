@@ -316,10 +316,25 @@ def test_items_dense_in_values_match_verbatim(spark):
     assert {(r["doc_id"], r["item_id"]) for r in rows(decontamination.matches(docs, bench))} == {(0, 0), (1, 1)}
 
 
+def test_short_items_are_one_exact_window(spark):
+    bench = spark.createDataFrame([(1, "What is 2 + 2"), (2, "Name it"), (3, "word"), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "She asked: what is 2 + 2? Four."), (2, "What is 3 + 3"), (3, "please NAME it now"), (4, "a word"), (5, "name them")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in rows(decontamination.matches(docs, bench))} == {(1, 1), (3, 2)}
+
+
+def test_one_changed_number_does_not_hide_the_rest(spark):
+    """What stands unchanged counts whatever the alignment's slots do."""
+    item = "In the year 1912 the town of Elm had 40 mills along the slow river and 12 schools beside the old road that led over the hills"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.replace("40 mills", "41 mills")), (2, item.replace("12 schools", "40 schools"))], "doc_id long, text string")
+    assert {r["doc_id"] for r in rows(decontamination.matches(docs, bench))} == {1, 2}
+
+
 def test_decontamination_on_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and then it went home again"), (1, "the cat sat on the mat and then it went home again"), (2, "twice twice twice"), (3, "word1 word2 word3 word4 word5 word6")], "item_id long, text string")
     kept = rows(decontamination.decontaminate(odd, bench))
-    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["2", "3", "None", "None", "4", "4", "6", "7"]) and set(kept[0]) == set(odd.columns)
+    # the item of three words stands whole in both rows of document 4
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["2", "3", "None", "None", "6", "7"]) and set(kept[0]) == set(odd.columns)
     assert decontamination.matches(none, bench).count() == 0 and decontamination.matches(odd, bench.limit(0)).count() == 0
 
 
@@ -370,6 +385,40 @@ def test_keys_of_every_alphabet_are_found(spark, name, lower):
     assert not any("random" in got[i] for i in range(80, len(got)))
 
 
+def plain_mask(text, spans, mask):
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + mask
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_many_matches_in_one_text_are_linear_work(spark):
+    """200,000 matches in one text; and texts of a middle number of them against the plain scan."""
+    import time
+
+    rng = np.random.default_rng(4)
+    line = lambda i: f"password=hunter{i:07d} é日 " if i % 3 else f"{'%032x' % (i * 7919)} "
+    texts = {i: "".join(map(line, range(n))) + "x" * int(rng.integers(0, 9000)) for i, n in enumerate((1, 63, 64, 65, 129, 5000))}
+    texts[10] = "token=" + "".join(rng.choice(list(secret_scan.ALPHABETS["base64"]), 44)) + " " + texts[3]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(secret_scan.secret_report(df))}
+    masked = {r["doc_id"]: r["text"] for r in rows(secret_scan.redact(df))}
+    for i, t in texts.items():
+        assert got[i]["base_sha256"] == hashlib.sha256(plain_spans(t).encode()).hexdigest()
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",")]
+        assert masked[i] == plain_mask(t, spans, "[SECRET]")
+    huge = "".join(line(i) if i % 50 == 0 else line(3 * i + 1) for i in range(200_000))
+    df = spark.createDataFrame([(1, huge)], "doc_id long, text string")
+    began = time.time()
+    got = rows(secret_scan.secret_report(df))[0]
+    assert got["base_sha256"] == hashlib.sha256(plain_spans(huge).encode()).hexdigest()
+    masked = rows(secret_scan.redact(df))[0]["text"]
+    assert masked.count("[SECRET]") == 200_000 and "hunter" not in masked
+    assert time.time() - began < 120
+
+
 def test_normal_tail(spark):
     z = [-3.0, -1.0, 0.0, 0.5, 1.96, 4.0]
     got = [r.p for r in spark.createDataFrame([(x,) for x in z], "z double").select(secret_scan.upper_tail(F.col("z")).alias("p")).collect()]
@@ -494,9 +543,26 @@ def test_classifiers_on_odd_rows(spark, odd, none, module, label):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 8)] + [(None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
     for lab in (labels, labels.where("doc_id < 0"), labels.where(f"{label} = 1")):
         model = module.train(odd, lab)
-        got = rows(module.with_scores(odd.drop("score"), model))
+        got = rows(module.with_scores(odd, model))
         assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
-    assert module.with_scores(none.drop("score"), model).count() == 0
+    assert module.with_scores(none, model).count() == 0
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    from symquarry.llm import labelled
+
+    docs = spark.range(300).select(F.when(F.col("id") < 200, 1).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    docs = docs.union(spark.createDataFrame([(900, "x" * (labelled.TEXT_BYTES + 1))], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (250, 0), (900, 0)], "doc_id long, toxic int")
+    got, counts = labelled.labelled_sample(docs, labels, "toxic", 1000, 1001, 5)
+    assert got.sort_by("doc_id").to_pylist() == [{"doc_id": 1, "text": "t0", "y": 1}, {"doc_id": 250, "text": "t250", "y": 0}] and counts == (2, 1)
+
+
+def test_counting_out_in_short_runs(spark):
+    from symquarry.llm.common import counted_out
+
+    df = spark.createDataFrame([(5, 1), (10, 7), (100, 6)], "a long, n long")
+    assert sorted(r["x"] for r in rows(counted_out(df, "a", "n", "x", step=3))) == [5, *range(10, 17), *range(100, 106)]
 
 
 # ---- 6
@@ -504,35 +570,31 @@ def test_classifiers_on_odd_rows(spark, odd, none, module, label):
 
 def test_suffix_tree_scores(spark, documents):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    model, counts = suffix_tree.fit(documents.where(~held))
-    v, tree = model
-    got = rows(suffix_tree.score(documents, model, counts))
-    texts = {r.doc_id: words(r.text) + [b"\n"] for r in documents.collect()}
-    train = {i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1}
-    c = Counter(w for i in train for w in texts[i])
+    model = suffix_tree.fit(documents.where(~held))
+    got = rows(suffix_tree.score(documents, model))
+    texts = {r.doc_id: [w.decode("utf-8", "surrogateescape") for w in words(r.text)] for r in documents.collect()}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for t in train for w in [*t, "\n"])
     n, kinds = sum(c.values()), len(c)
     base = lambda w: math.log10((c[w] + 0.5) / (n + 0.5 * (kinds + 1)))
+    want, contexts, p = plain_suffix_tree(train, list(texts.values()), suffix_tree.KEEP, suffix_tree.MU)
+    want = dict(zip(texts, want))
+    assert model.contexts.count() == contexts > 10
     for r in got:
-        t = texts[r["doc_id"]]
+        t = [*texts[r["doc_id"]], "\n"]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r["base_score"], sum(map(base, t)), rel_tol=1e-9)
-        ids = np.array([0 if w == b"\n" else v.number.get(w, v.other) for w in t])
-        whole = tree.log10(v, ids).sum() + sum(base(w) for w, i in zip(t, ids) if i == v.other)
-        assert math.isclose(r["score"], whole, rel_tol=1e-9)
+        assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9)
     # every context's distribution sums to one over the words, the end and the unseen
-    for context in ([], [b"the"], [b"of", b"the"], [b"de"]):
-        head = [0, *(v.number.get(w, v.other) for w in context)]
-        every = np.concatenate([[*head, x] for x in range(v.other + 1)])
-        p = tree.log10(v, every)[len(head) :: len(head) + 1]
-        p[-1] += math.log10(0.5) - v.log_denominator
-        assert math.isclose((10**p).sum(), 1, rel_tol=1e-9)
+    for context in ((), ("the",), ("of", "the"), ("de",), ("\n",)):
+        assert math.isclose(sum(p(context, x) for x in [*c, "never seen"]), 1, rel_tol=1e-9)
 
 
 def test_suffix_tree_learns_contexts(spark):
     docs = spark.createDataFrame([(i, "a b a b a c " * 30 if i % 2 else "x y " * 40) for i in range(40)], "doc_id long, text string")
-    model, counts = suffix_tree.fit(docs)
-    assert len(model[1].keys) > 0
-    got = rows(suffix_tree.score(docs, model, counts))
+    model = suffix_tree.fit(docs)
+    assert model.contexts.count() > 0
+    got = rows(suffix_tree.score(docs, model))
     assert all(r["score"] > r["base_score"] + 10 for r in got)
 
 
@@ -572,10 +634,11 @@ def plain_suffix_tree(train, texts, keep, mu):
     for t in texts:
         s = ["\n", *t, "\n"]
         out.append(sum(math.log10(p(tuple(s[max(0, i - 3) : i]), s[i])) for i in range(1, len(s))))
-    return out, len(gamma)
+    return out, len(gamma), p
 
 
-def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 200])
+def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch, hot):
     rng = np.random.default_rng(5)
     common = [f"w{i}" for i in range(300)]
     texts = []
@@ -583,26 +646,26 @@ def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch):
         t = rng.choice(common, 60).tolist()
         t[20:20] = ["rare", f"pair{i % 40}", f"tail{i % 40}", "then", f"end{i % 40}"]  # 10 times each, among 26,400 tokens
         texts.append(t)
-    monkeypatch.setattr(suffix_tree, "VOCABULARY", 200)  # most of the contexts lie outside it
-    monkeypatch.setattr(suffix_tree, "CHUNK", 20_000)
+    monkeypatch.setattr(suffix_tree, "HOT", hot)  # most of the contexts lie outside it, or all
+    monkeypatch.setattr(suffix_tree, "SLAB", 3_000)
     monkeypatch.setattr(suffix_tree, "BLOCK", 5_000)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    model, counts = suffix_tree.fit(docs)
-    got = {r["doc_id"]: r for r in rows(suffix_tree.score(docs, model, counts))}
-    want, contexts = plain_suffix_tree(texts, texts, suffix_tree.KEEP, suffix_tree.MU)
-    assert len(model[1].keys) == contexts > 40
+    model = suffix_tree.fit(docs)
+    got = {r["doc_id"]: r for r in rows(suffix_tree.score(docs, model))}
+    want, contexts, _ = plain_suffix_tree(texts, texts, suffix_tree.KEEP, suffix_tree.MU)
+    assert model.contexts.count() == contexts > 40
     for i, w in enumerate(want):
         assert math.isclose(got[i]["score"], w, rel_tol=1e-9)
 
 
 def test_suffix_tree_on_odd_rows(odd, none):
-    model, counts = suffix_tree.fit(odd)
-    got = rows(suffix_tree.score(odd, model, counts))
+    model = suffix_tree.fit(odd)
+    got = rows(suffix_tree.score(odd, model))
     assert len(got) == odd.count() and all(r["n_known"] == r["n_tokens"] for r in got)
     assert next(r for r in got if r["doc_id"] == 2)["n_tokens"] == 1
-    blank, nothing = suffix_tree.fit(none)
-    assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in rows(suffix_tree.score(odd, blank, nothing)))
-    assert suffix_tree.score(none, model, counts).count() == 0
+    blank = suffix_tree.fit(none)
+    assert all(r["n_known"] == 0 and r["score"] == 0 for r in rows(suffix_tree.score(odd, blank)))
+    assert suffix_tree.score(none, model).count() == 0
 
 
 # ---- 7
@@ -628,6 +691,9 @@ def plain_search(docs, queries, k):
 
 def test_search_equals_brute_force(spark, documents, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "SHARD_DOCS", 13)  # many shards, two tasks, so that thresholds go from one to the next
+    monkeypatch.setattr(search, "SEEDS", 2)
+    documents = documents.repartition(2)
     docs = [(r.doc_id, r.text) for r in documents.collect()]
     chosen = [d for d in docs if d[0] % 25 == 0]
     got = rows(search.search(documents, documents.where("doc_id % 25 = 0"), 5))
@@ -663,6 +729,11 @@ def test_pruned_scores_equal_full_ones():
             full[shard.places[s]] += weight * shard.impacts[s]
         best = np.lexsort((np.arange(n), -np.round(full, 9)))[:7]
         assert places.tolist() == best.tolist() and np.allclose(scores, full[best])
+        # a threshold from elsewhere: lists are set aside, and what reaches it is found with the very same scores
+        for least in (scores[-1], (scores[0] + scores[-1]) / 2, scores[0], scores[0] + 1e-6):
+            some, high = shard.top(t, w, 7, least)
+            good = scores >= least
+            assert some.tolist() == places[good].tolist() and high.tolist() == scores[good].tolist()
 
 
 def test_search_on_odd_rows(odd, none):
@@ -671,6 +742,9 @@ def test_search_on_odd_rows(odd, none):
     got = rows(search.search(odd, asked, 3))
     assert {(r["query_id"], r["rank"], r["doc_id"]) for r in got} == {w[:3] for w in plain_search(docs, [d for d in docs if d[0] in (1, 2, 4, 5)], 3)}
     assert search.search(odd, none, 3).count() == 0 and search.search(none, none).count() == 0
+    # rows without an id ask nothing, and large ids stay whole beside them
+    large = odd.where("doc_id in (1, 4) or doc_id is null").withColumn("doc_id", F.col("doc_id") + (1 << 60) + 1)
+    assert {r["query_id"] for r in rows(search.search(odd, large, 3))} == {(1 << 60) + 2, (1 << 60) + 5}
 
 
 # ---- pipeline
