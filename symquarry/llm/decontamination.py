@@ -85,24 +85,26 @@ def windows(df: DataFrame, keys: list[str], text: Column, widths: list[int], eve
     words. Views that don't differ in a window are given once, as the first of them, or all if `every`.
     """
     words = df.select(*keys, template_words(text).alias("words"))
-    special, opened = F.exists("words", _is_value), F.exists("words", _opens)
-    # most texts without values skip the other arrays
-    marked = words.select(*keys, "words", special.alias("special"), opened.alias("opened"))
+    # 1: a value, 2: a word that opens a sentence; each word is looked at once, not in every window
+    flags = F.transform("words", lambda w: F.when(_is_value(w), 1).when(_opens(w), 2).otherwise(0))
+    flagged = words.withColumn("flags", flags)
+    # texts without values skip the other arrays
+    marked = flagged.select(*keys, "words", "flags", F.array_contains("flags", 1).alias("special"), F.array_contains("flags", 2).alias("opened"))
     plain = F.when(F.col("special") | F.col("opened"), F.transform("words", _bare)).otherwise(F.col("words"))
     template = F.when(F.col("special"), F.transform("words", _placeholder)).otherwise(F.col("plain"))
     wide = F.when(F.col("opened"), F.transform("words", lambda w: F.when(_opens(w), F.lit(NAME)).otherwise(_placeholder(w)))).otherwise(F.col("template"))
     typed = marked.withColumn("plain", plain).withColumn("template", template).withColumn("wide", wide)
-    typed = typed.select(*keys, "words", "special", "opened", "plain", "template", "wide")
+    typed = typed.select(*keys, "words", "flags", "special", "opened", "plain", "template", "wide")
 
     def at(width: int) -> Column:
         def one(view: int, array: str, slotted) -> Column:
             def make(i: Column) -> Column:
-                part, of = F.slice("words", i, width), F.slice("plain", i, width)
+                part, of = F.slice("flags", i, width), F.slice("plain", i, width)
                 if slotted is None:
                     slots = F.lit(None).cast("array<string>")
                 else:
-                    found = F.filter(F.zip_with(part, of, lambda w, p: F.when(slotted(w), p)), lambda v: v.isNotNull())
-                    slots = F.when(F.col("special") | F.col("opened"), F.when(F.size(found) > 0, found))
+                    found = F.filter(F.zip_with(part, of, lambda f, p: F.when(slotted(f), p)), lambda v: v.isNotNull())
+                    slots = F.when((F.col("special") | F.col("opened")) & F.exists(part, slotted), found)
                 return F.struct(F.lit(view).alias("view"), i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(F.slice(array, i, width), F.lit(width)).alias("window"), slots.alias("slots"))
 
             return make
@@ -110,12 +112,12 @@ def windows(df: DataFrame, keys: list[str], text: Column, widths: list[int], eve
         last = F.size("words") - width + 1
         places = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
         none = F.array().cast("array<int>")
-        holds = lambda test: lambda i: F.exists(F.slice("words", i, width), test)
-        opening = places if every else F.when(F.col("opened"), F.filter(places, holds(_opens))).otherwise(none)
-        valued = places if every else F.when(F.col("special"), F.filter(places, holds(_is_value))).otherwise(none)
+        holds = lambda test: lambda i: F.exists(F.slice("flags", i, width), test)
+        opening = places if every else F.when(F.col("opened"), F.filter(places, holds(lambda f: f == 2))).otherwise(none)
+        valued = places if every else F.when(F.col("special"), F.filter(places, holds(lambda f: f == 1))).otherwise(none)
         views = [
-            F.transform(places, one(0, "template", _is_value)),
-            F.transform(opening, one(1, "wide", lambda w: _is_value(w) | _opens(w))),
+            F.transform(places, one(0, "template", lambda f: f == 1)),
+            F.transform(opening, one(1, "wide", lambda f: f > 0)),
             F.transform(valued, one(2, "plain", None)),
         ]
         return F.when(last > 0, F.concat(*views))
