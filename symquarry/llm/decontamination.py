@@ -34,7 +34,7 @@ from .common import table, written
 
 WIDTH, SHORT, LITERALS = 8, 5, 4
 COVERAGE, RUN = 0.5, 6
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = BROADCAST_KEYS = 1_000_000
 
 # Units that become a placeholder after a number.
 UNITS = (
@@ -51,79 +51,77 @@ NAME, UNIT, POINT, START = "", "", "", ""
 
 def template_words(text: Column) -> Column:
     """Words in order; a value starts with NAME or UNIT or a digit, a possible name at a sentence's start with START."""
-    folded = F.regexp_replace(text, r"\s+", " ")
-    named = F.regexp_replace(folded, r"([\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll})", rf"$1{NAME}$2")
-    opened = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}})", rf"{START}$1")
-    low = F.lower(opened)
-    joined = F.regexp_replace(low, r"(?<=[0-9])[.,](?=[0-9])", POINT)
-    united = F.regexp_replace(joined, rf"(?<=[0-9])\s?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", rf" {UNIT}$1")
+    folded = F.regexp_replace(text, r"[\t-\r]\s*| \s+", " ")
+    # every pattern begins with the rarest thing it needs, and looks behind only from there
+    opened = F.regexp_replace(folded, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}])", START)
+    named = F.regexp_replace(opened, rf"{START}(?<=[\p{{Ll}}\p{{N}},;:] {START})", NAME)
+    low = F.lower(named)
+    joined = F.regexp_replace(low, r"[.,](?<=[0-9].)(?=[0-9])", POINT)
+    united = F.regexp_replace(joined, rf"([0-9])\s?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", rf"$1 {UNIT}$2")
     ready = F.when(text.rlike("[0-9]"), united).otherwise(low)
     return F.regexp_extract_all(ready, F.lit(rf"[\p{{L}}\p{{N}}{NAME}-{START}]+"), F.lit(0))
 
 
-def _is_value(w: Column) -> Column:
-    return w.rlike(f"^[0-9{NAME}{UNIT}]")
+# Codes of words. From NUMBER on they are values.
+WORD, OPENER, NUMBER, MEASURE, PERSON = range(5)
+VIEWS = 3
 
 
-def _opens(w: Column) -> Column:
-    return w.startswith(START)
+def _code(first: Column) -> Column:
+    """The code of a word, by its first character's number."""
+    marks = {UNIT: MEASURE, NAME: PERSON, START: OPENER}
+    code = F.when((first > ord("9")) & (first < ord(NAME)), WORD).when((first >= ord("0")) & (first <= ord("9")), NUMBER)
+    for mark, of in marks.items():
+        code = code.when(first == ord(mark), of)
+    return code.otherwise(WORD)
 
 
-def _bare(w: Column) -> Column:
-    return F.translate(w, NAME + UNIT + START, "")
+def _bare(word: Column, code: Column) -> Column:
+    return F.when((code == WORD) | (code == NUMBER), word).otherwise(F.substring(word, 2, 1 << 30))
 
 
-def _placeholder(w: Column) -> Column:
-    # POINT stands for a number: no word is that alone, so the windows of values and those of placeholders stay apart
-    return F.when(w.startswith(NAME), F.lit(NAME)).when(w.startswith(UNIT), F.lit(UNIT)).when(w.rlike("^[0-9]"), F.lit(POINT)).otherwise(F.translate(w, START, ""))
+def slots_of(view: Column) -> Column:
+    """A window's values in order, null where there are none; `view` is the window's. Reads part_words, part_codes."""
+    least = F.when(view == 0, NUMBER).otherwise(OPENER)
+    held = F.filter(F.zip_with("part_codes", "part_words", lambda c, w: F.when(c >= least, _bare(w, c))), lambda v: v.isNotNull())
+    return F.when((view < 2) & (F.array_max("part_codes") >= least), held)
 
 
 def windows(df: DataFrame, keys: list[str], text: Column, widths: list[int], every: bool = False) -> DataFrame:
-    """keys, view, pos, width, window (hash), slots (values in order, null where there are none).
+    """keys, view, pos, width, window (hash), part_words, part_codes (the window's words and their codes).
 
     view 0 has placeholders for values; view 1 takes words that open a sentence for names too; view 2 has the plain
     words. Views that don't differ in a window are given once, as the first of them, or all if `every`.
+
+    Each word is hashed once; a window is the hash of its words' hashes, made after the explode, in generated code.
     """
     words = df.select(*keys, template_words(text).alias("words"))
-    # 1: a value, 2: a word that opens a sentence; each word is looked at once, not in every window
-    flags = F.transform("words", lambda w: F.when(_is_value(w), 1).when(_opens(w), 2).otherwise(0))
-    flagged = words.withColumn("flags", flags)
-    # texts without values skip the other arrays
-    marked = flagged.select(*keys, "words", "flags", F.array_contains("flags", 1).alias("special"), F.array_contains("flags", 2).alias("opened"))
-    plain = F.when(F.col("special") | F.col("opened"), F.transform("words", _bare)).otherwise(F.col("words"))
-    template = F.when(F.col("special"), F.transform("words", _placeholder)).otherwise(F.col("plain"))
-    wide = F.when(F.col("opened"), F.transform("words", lambda w: F.when(_opens(w), F.lit(NAME)).otherwise(_placeholder(w)))).otherwise(F.col("template"))
-    typed = marked.withColumn("plain", plain).withColumn("template", template).withColumn("wide", wide)
-    typed = typed.select(*keys, "words", "flags", "special", "opened", "plain", "template", "wide")
-
-    def at(width: int) -> Column:
-        def one(view: int, array: str, slotted) -> Column:
-            def make(i: Column) -> Column:
-                part, of = F.slice("flags", i, width), F.slice("plain", i, width)
-                if slotted is None:
-                    slots = F.lit(None).cast("array<string>")
-                else:
-                    found = F.filter(F.zip_with(part, of, lambda f, p: F.when(slotted(f), p)), lambda v: v.isNotNull())
-                    slots = F.when((F.col("special") | F.col("opened")) & F.exists(part, slotted), found)
-                return F.struct(F.lit(view).alias("view"), i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(F.slice(array, i, width), F.lit(width)).alias("window"), slots.alias("slots"))
-
-            return make
-
-        last = F.size("words") - width + 1
-        places = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
-        none = F.array().cast("array<int>")
-        holds = lambda test: lambda i: F.exists(F.slice("flags", i, width), test)
-        opening = places if every else F.when(F.col("opened"), F.filter(places, holds(lambda f: f == 2))).otherwise(none)
-        valued = places if every else F.when(F.col("special"), F.filter(places, holds(lambda f: f == 1))).otherwise(none)
-        views = [
-            F.transform(places, one(0, "template", lambda f: f == 1)),
-            F.transform(opening, one(1, "wide", lambda f: f > 0)),
-            F.transform(valued, one(2, "plain", None)),
-        ]
-        return F.when(last > 0, F.concat(*views))
-
-    found = [F.coalesce(at(w), F.array().cast("array<struct<view:int,pos:int,width:int,window:bigint,slots:array<string>>>")) for w in widths]
-    return typed.select(*keys, F.inline(F.concat(*found) if len(found) > 1 else found[0]))
+    coded = words.withColumn("codes", F.transform(F.transform("words", F.ascii), _code))
+    plain = coded.withColumn("plain", F.zip_with("words", "codes", lambda w, c: F.xxhash64(_bare(w, c))))
+    plain = plain.withColumn("special", F.array_max("codes") >= NUMBER).withColumn("opened", F.array_contains("codes", OPENER))
+    # a point stands for a number: no word is that alone, so the windows of values and those of words stay apart
+    number, measure, person = (F.xxhash64(F.lit(mark)) for mark in (POINT, UNIT, NAME))
+    held = F.zip_with("plain", "codes", lambda h, c: F.when(c < NUMBER, h).when(c == NUMBER, number).when(c == MEASURE, measure).otherwise(person))
+    template = plain.withColumn("template", F.when(F.col("special"), held).otherwise(F.col("plain")))
+    named = F.zip_with("template", "codes", lambda h, c: F.when(c == OPENER, person).otherwise(h))
+    typed = template.withColumn("wide", F.when(F.col("opened"), named).otherwise(F.col("template")))
+    # outer: a plain explode would add a filter on the array, for which all of the above would be done twice
+    placed = typed.select(*keys, "words", "codes", "special", "opened", "plain", "template", "wide", F.posexplode_outer("codes").alias("at", "code"))
+
+    def part(array: str, width) -> Column:
+        return F.slice(array, F.col("at") + 1, width)
+
+    hashes = []
+    for width in widths:
+        whole = F.col("at") + width <= F.size("codes")
+        opening = F.lit(True) if every else F.col("opened") & F.array_contains(part("codes", width), OPENER)
+        valued = F.lit(True) if every else F.col("special") & (F.array_max(part("codes", width)) >= NUMBER)
+        for array, given in (("template", F.lit(True)), ("wide", opening), ("plain", valued)):
+            hashes.append(F.when(whole & given, F.xxhash64(part(array, width), F.lit(width))))
+    found = placed.select(*keys, "words", "codes", "at", F.posexplode(F.array(*hashes)).alias("which", "window")).where("window is not null")
+    width = F.lit(widths[0]) if len(widths) == 1 else F.element_at(F.array(*map(F.lit, widths)), (F.col("which") / VIEWS).cast("int") + 1)
+    parts = [part(name, width).alias(f"part_{name}") for name in ("words", "codes")]
+    return found.select(*keys, (F.col("which") % VIEWS).alias("view"), (F.col("at") + 1).alias("pos"), width.alias("width"), "window", *parts)
 
 
 def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -139,6 +137,7 @@ def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    every = every.withColumn("slots", slots_of(F.col("view"))).drop("part_words", "part_codes")
     literal = F.col("width") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.lit(LITERALS), F.col("width") - 1)
     spare = F.min(F.when(F.col("view") == 0, literal)).over(W.partitionBy("item_key", "pos", "width"))
     judged = every.withColumn("ordinary", spare)
@@ -163,8 +162,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
     small = items.count() <= BROADCAST_WINDOWS
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("t"), F.xxhash64(F.col(id_col).cast("long"), body).alias("doc_key"))
-    found = windows(rows, ["doc_id", "doc_key"], F.col("t"), widths).drop("view")
-    met = found.join(F.broadcast(items) if small else items, ["window", "width"])
+    found = windows(rows, ["doc_id", "doc_key"], F.col("t"), widths).withColumnRenamed("view", "doc_view")
+    # the hash holds the width; slots are made of matched windows only
+    met = found.drop("width").join(F.broadcast(items) if small else items, "window").withColumn("slots", slots_of(F.col("doc_view")))
     pair = F.transform(
         F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("a"), F.coalesce("slots", F.array().cast("array<string>")).alias("b")),
         lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")),
@@ -191,8 +191,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the contaminated rows."""
-    bad = matches(docs, benchmark, text, id_col).select("doc_key").distinct()
+    """docs without the contaminated rows. Their keys are broadcast while they number BROADCAST_KEYS at most (counted first)."""
+    bad = written(matches(docs, benchmark, text, id_col).select("doc_key").distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
     key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
     names = docs.columns
     return docs.withColumn("__key", key).join(bad.withColumnRenamed("doc_key", "__key"), "__key", "left_anti").select(*names)
