@@ -14,9 +14,26 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+WORD_CACHE = 500_000
+
 _own_dir: str | None = None
 
 
+class Digests(dict):
+    """The 8-byte hashes of words, as many as WORD_CACHE remembered."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        from xxhash import xxh64_digest
+
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[word] = found = xxh64_digest(word)
+        return found
+
+
+DIGESTS = Digests()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -38,7 +38,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, fold, new_path, table, written
+from .common import DIGESTS, drop_path, fold, new_path, table, written
 
 FOLDS, HELD = 5, 1
 END = b"\n"  # no word contains white space
@@ -47,7 +47,6 @@ KEEP, MU = 8, 20.0
 HOT = 1_000_000
 BLOCK = 4 << 20  # bytes of text read at once
 SLAB = 2 << 20  # tokens counted at once
-WORD_CACHE = 500_000
 FILTER = 20  # a filter has 2 ** FILTER words of 64 bits
 
 
@@ -55,19 +54,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-class Digests(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        from xxhash import xxh64_digest
-
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = found = xxh64_digest(word)
-        return found
-
-
-DIGESTS = Digests()
-
-
 def end_hash():
     import numpy as np
 
