@@ -11,24 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..sources.scratch import materialised
 from .lines import raw_lines, snippet
 from .relations import related_types
 
+FEW = 200_000  # keys that are broadcast, at most
 ITEM = ("seq", "requested_symbol", "symbol_id", "kind", "name", "qualified_name", "signature", "relative_path", "line_start", "line_end", "level", "related", "relation_type", "source_qualified_name")
 
 
 def find(symbols: DataFrame, requested: list[str], partial: bool = False) -> DataFrame:
     """One row for each request and matching active symbol, in order (seq). A repeated request matches again."""
-    parts = []
+    hits = []
     q = F.coalesce("qualified_name", F.lit(""))
     for number, name in enumerate(requested):  # the user's list
         exact = (F.col("name") == name) | (q == name)
         hit = exact | T.contains_like(F.col("name"), name) | T.contains_like(q, name) | T.contains_like(F.col("signature"), name) if partial else exact
         first = F.when(exact, 0).otherwise(1) if partial else F.lit(0)
-        parts.append(symbols.where(hit).withColumns({"request": F.lit(number), "requested_symbol": F.lit(name), "first": first}))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        hits.append(F.when(hit, F.struct(F.lit(number).alias("request"), F.lit(name).alias("requested_symbol"), first.alias("first"))))
+    every = symbols.select("*", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("__hit")).select(*symbols.columns, "__hit.*")
     order = W.orderBy("request", "first", "kind", "qualified_name", "relative_path", "symbol_id")
     return every.withColumn("seq", F.row_number().over(order).cast("long"))
 
@@ -40,8 +40,12 @@ def ambiguity(found: DataFrame, requested: list[str]) -> DataFrame:
     return asked.join(counts, "request", "left").select("requested_symbol", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
-def with_code(items: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds code, the lines of each item as bytes. files: relative_path, content."""
+def with_code(items: DataFrame, files: DataFrame, keep=None) -> DataFrame:
+    """Adds code, the lines of each item as bytes. files: relative_path, content. keep: materialises the items, so that only
+    their files are shuffled."""
+    if keep:
+        items = keep(items)
+        files = among(files, keep(items.select("relative_path").distinct()), "relative_path")
     kept = files.select("relative_path", F.col("content").cast("string").alias("__content"))
     lines = snippet(raw_lines(F.col("__content")), F.col("line_start"), F.col("line_end"))
     return items.join(kept, "relative_path", "left").withColumn("code", F.coalesce(lines, F.lit("")).cast("binary")).drop("__content")
@@ -66,39 +70,50 @@ def expandable(kind: Column) -> Column:
     return kind.rlike("|".join(T.EXPANDABLE))
 
 
-def referenced(frontier: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(seq, symbol_id) of every expandable symbol whose name, or last part of its qualified name, stands alone in an item's code.
+def among(df: DataFrame, keys: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """df joined with keys, a materialised table, by a column. While keys are FEW they are broadcast, so that df is not shuffled."""
+    return df.join(F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys, column, how)
+
+
+def first_references(frontier: DataFrame, symbols: DataFrame, keep) -> DataFrame:
+    """(symbol_id, source_seq) of every expandable symbol whose name, or last part of its qualified name, stands alone in an
+    item's code, with the first such item. An item's own symbol may be among them.
 
-    Names made of identifier characters are found by an equi-join on the code's words; only names with other
-    signs are matched as patterns, against the items of this level.
+    A word counts once, with the first item that holds it, so work grows with items plus names, not with their product.
+    Names made of identifier characters are words of the code. Names with other signs can only stand where their longest run
+    of identifier characters is a word; those that can are matched as patterns, each once, against the items with that word.
     """
-    words = frontier.select("seq", F.col("symbol_id").alias("own"), F.explode(F.array_distinct(F.regexp_extract_all(F.decode("code", "ISO-8859-1"), F.lit("[A-Za-z0-9_$]+"), F.lit(0)))).alias("word"))
+    runs = lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z0-9_$]+"), F.lit(0))
+    # names without any such run stand under the empty word, which is in every item
+    held = frontier.select("seq", F.explode(F.array_union(F.array(F.lit("")), runs(F.decode("code", "ISO-8859-1")))).alias("part"))
+    words = keep(held.groupBy("part").agg(F.min("seq").alias("source_seq")))
     tail = T.tail_name(F.coalesce("qualified_name", F.lit("")))
     names = symbols.where(expandable(F.col("kind"))).select("symbol_id", F.explode(F.array_distinct(F.array("name", F.when(tail != "", tail).otherwise(F.col("name"))))).alias("word"))
-    names = names.where(F.octet_length("word") >= 3)
-    plain = F.col("word").rlike("^[A-Za-z0-9_$]+$")
-    by_word = words.join(names.where(plain), "word").where("own <> symbol_id").select("seq", "symbol_id")
-    odd = names.where(~plain)
+    longest = F.aggregate(runs(F.col("word")), F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a))
+    hits = keep(among(names.where(F.octet_length("word") >= 3).withColumn("part", longest), words, "part", "inner"))
+    plain = F.col("word") == F.col("part")
+    odd = hits.where(~plain).select("symbol_id", "word", "part")
     alone = F.concat(F.lit(r"(?<![A-Za-z0-9_$])\Q"), F.col("word"), F.lit(r"\E(?![A-Za-z0-9_$])"))
-    texts = frontier.select("seq", F.col("symbol_id").alias("own"), F.decode("code", "UTF-8").alias("text"))
-    by_pattern = texts.join(odd, F.col("text").contains(F.col("word")) & F.expr("true")).where((F.col("own") != F.col("symbol_id")) & F.regexp_like("text", alone)).select("seq", "symbol_id")
-    return by_word.union(by_pattern).distinct()
+    texts = frontier.select("seq", F.decode("code", "UTF-8").alias("text"))
+    matched = among(held, keep(odd.select("word", "part").distinct()), "part", "inner").join(texts, "seq").where(F.regexp_like("text", alone))
+    by_pattern = odd.join(matched.groupBy("word").agg(F.min("seq").alias("source_seq")), "word").select("symbol_id", "source_seq")
+    return hits.where(plain).select("symbol_id", "source_seq").union(by_pattern).groupBy("symbol_id").agg(F.min("source_seq").alias("source_seq"))
 
 
 def expand(items: DataFrame, symbols: DataFrame, files: DataFrame, level: int, budget: int, keep=None) -> DataFrame:
     """items and what their code refers to, `level` steps far. Each symbol is included once, by its first referrer.
 
-    items: spent (seq, code, truncated, ...). keep: materialises a level, since a level's cut codes decide the next.
+    items: spent (seq, code, truncated, ...). keep: writes a table and reads it again (plans would double with each level).
+    Symbols and files are read for every level, and only rows that a level needs are kept or shuffled.
     """
-    keep = keep or (lambda df: df)
+    keep = keep or materialised
     for step in range(level):
         items = keep(items)
         frontier = items.where((F.col("level") == step) & (F.octet_length("code") > 0))
         seen = items.select("symbol_id").distinct()
-        hits = referenced(frontier, symbols).join(seen, "symbol_id", "left_anti")
-        first = hits.groupBy("symbol_id").agg(F.min("seq").alias("source_seq"))
+        first = keep(first_references(frontier, symbols, keep).join(seen, "symbol_id", "left_anti"))
         sources = frontier.select(F.col("seq").alias("source_seq"), F.col("qualified_name").alias("source_qualified_name"))
-        new = first.join(symbols, "symbol_id").join(sources, "source_seq")
+        new = among(symbols, first, "symbol_id", "inner").join(sources, "source_seq")
         order = W.orderBy("source_seq", F.desc(F.length("name")), "qualified_name", "relative_path", "symbol_id")
         base = items.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("base"), F.coalesce(F.sum("taken"), F.lit(0)).alias("used"))
         new = new.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(base))  # one row
@@ -106,7 +121,7 @@ def expand(items: DataFrame, symbols: DataFrame, files: DataFrame, level: int, b
             {"seq": F.col("base") + F.col("place"), "requested_symbol": F.col("name"), "level": F.lit(step + 1), "related": F.lit(True), "relation_type": F.lit("referenced_by_level")}
         )
         left = F.greatest(F.lit(0).cast("long"), F.lit(budget) - F.col("used"))
-        coded = with_code(new.select(*ITEM, "used"), files)
+        coded = with_code(new.select(*ITEM, "used"), files, keep)
         items = items.unionByName(spend(coded, left).drop("used"))
     return items
 
@@ -121,7 +136,7 @@ def context(
     items = found.select(*ITEM)
     if relations is not None:
         items = items.unionByName(types_of(items, symbols, relations))
-    spent = spend(with_code(items, files), max(0, budget))
+    spent = spend(with_code(items, files, (keep or materialised) if level > 0 else None), max(0, budget))
     return expand(spent, symbols, files, level, max(0, budget), keep) if level > 0 else spent
 
 

@@ -70,8 +70,7 @@ def context(
     counts = C.ambiguity(found, requested).collect()  # one row per request
     needed = symbols.select("relative_path", "absolute_path").distinct() if level or relations is not None else found.select("relative_path", "absolute_path").distinct()
     content = live_content(spark, needed)
-    keep = lambda df: df.persist()
-    items = C.context(symbols, content, requested, partial, budget, level, relations, keep).persist()
+    items = C.context(symbols, content, requested, partial, budget, level, relations).persist()
     rows = items.orderBy("seq").collect()  # bounded by the byte budget's items
     by_name = {r.requested_symbol: r.matches for r in counts}
     said = []

@@ -61,3 +61,29 @@ def test_entry_module_lists_them():
     import __spark_entry__ as e
 
     assert set(catalog.QUERIES) <= set(e.queries()) and set(catalog.ORACLES) <= set(e.oracle_sql())
+
+
+def test_first_references_are_those_of_a_plain_search(spark):
+    import re
+
+    from symquarry.operators import context as C
+    from symquarry.sources.scratch import materialised
+
+    codes = ["the my-tool a.b.run\n", "the the café_x run ++ $v\n", "my tool -tool-x ++\n", "x--y my-tool-x é\n", ""]
+    names = ["the", "my-tool", "tool", "run", "café_x", "++", "+++", "$v", "x--y", "-tool-x", "--y", "ab", "", "b.run"]
+    items = spark.createDataFrame([(i, i, c.encode()) for i, c in enumerate(codes)], "seq long, symbol_id long, code binary")
+    symbols = spark.createDataFrame([(100 + i, "class", n, f"q.{n}") for i, n in enumerate(names * 3)], "symbol_id long, kind string, name string, qualified_name string")
+    want = {}
+    for i, n in enumerate(names * 3):
+        for word in {n, re.search(r"[^.:\\/]*$", f"q.{n}").group() or n}:
+            found = [s for s, c in enumerate(codes) if len(word.encode()) >= 3 and re.search(rf"(?<![A-Za-z0-9_$]){re.escape(word)}(?![A-Za-z0-9_$])", c)]
+            if found:
+                want[100 + i] = min(found[0], want.get(100 + i, 99))
+    assert {r.symbol_id: r.source_seq for r in C.first_references(items, symbols, materialised).collect()} == want
+    assert len(want) > 20
+
+
+def test_levels_keep_no_table_of_all_symbols(spark, sf_dir):
+    spark.catalog.clearCache()
+    catalog.QUERIES["level_expand_2"](spark, sf_dir).count()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
