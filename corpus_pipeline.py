@@ -25,7 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with 5-word Jaccard similarity of 0.8 or more, the one with the smallest id."""
+    """One document of each group with 5-word Jaccard similarity of 0.8 or more, the one with the smallest id.
+
+    SimHash with multi-index hashing finds candidates, exact similarity decides, and a prefix search finds what the radius misses.
+    """
     return near_copies.deduplicate(docs)
 
 

@@ -3,13 +3,17 @@
 A text is the set of 64-bit hashes of its shingles of WIDTH lower-cased words, made from the words' own hashes; a shorter text is one shingle, one
 without words the empty set. Texts with equal sets are one member from here on.
 
-Search by prefixes. Let all shingles stand in one fixed order. Two sets with similarity t or more share a shingle
+Search by SimHash. Every set has a fingerprint, a vote of its hashes for each bit, and fingerprints at 2 or fewer differing
+bits are found by the multi-index hashing of `simhash`. Sets that meet so are candidates. Similar sets whose fingerprints
+lie further apart, which is so for most sets near the bound, are found by a second, complete search.
+
+Search by prefixes, for those. Let all shingles stand in one fixed order. Two sets with similarity t or more share a shingle
 among the first |s| - ceil(t |s|) + 1 of each. The order is by the counts of 2 ** SKETCH hash buckets over all
 texts, rarest first, so a line that many texts hold is in almost no prefix. The order changes costs, never results.
 Of two sets, a shared shingle at places i and j leaves at most 1 + min(|u| - i - 1, |v| - j - 1) in common if it is the
 first that they share; pairs for which that is too little meet at an earlier shingle or are not similar.
 
-Links are verified on the whole sets. First each member of a prefix shingle meets the shingle's smallest one, which
+Links of either search are verified on the whole sets. First the SimHash candidates, and each member of a prefix shingle with the shingle's smallest one, which
 joins a cluster of near copies in linear work; then only members whose groups still differ meet each other.
 
 Sets are made from the texts whenever they are needed, not stored: they are larger than the texts.
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import DIGESTS, drop_path, new_path, written
 from .components import connected_components
 
@@ -50,9 +55,9 @@ def shingles(text: bytes):
 
 
 def with_keys(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __key, a hash of the text's set of shingles, and __uid, a number of the row."""
+    """docs with __key, a hash of the text's set of shingles, __fp, the SimHash fingerprint of that set, and __uid, a number of the row."""
     where = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType()), T.StructField("__uid", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType()), T.StructField("__fp", T.LongType()), T.StructField("__uid", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -63,8 +68,9 @@ def with_keys(docs: DataFrame, text: str) -> DataFrame:
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = b.column(where).cast(pa.string()).cast(pa.binary())
-            keys = np.array([digest(shingles(t.as_py() or b"").tobytes()) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys), pa.array(range(uid, uid + len(keys)), pa.int64())], schema.names)
+            found = [(digest(s.tobytes()), simhash.majority(s)) for s in (shingles(t.as_py() or b"") for t in texts)]
+            keys = np.array([k for k, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys), pa.array([fp for _, fp in found], pa.int64()), pa.array(range(uid, uid + len(keys)), pa.int64())], schema.names)
             uid += len(keys)
 
     return docs.mapInArrow(run, schema)
@@ -163,8 +169,20 @@ def as_side(x: str, *columns: str) -> list:
     return [F.col(c).alias(x if c == "key" else f"{x}_{c}") for c in columns]
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """(u, v) between keys, enough of them to connect all similar pairs. texts: (key, t), a written table."""
+def simhash_candidates(prints: DataFrame) -> DataFrame:
+    """(u, v) between keys whose fingerprints lie within the radius, enough of them to connect all such pairs.
+
+    prints: distinct (key, fp). Keys with one fingerprint meet the smallest of them, and the smallest ones stand for their fingerprints.
+    """
+    leads = written(prints.groupBy("fp").agg(F.min("key").alias("u")), "copies-prints")
+    same = prints.join(leads, "fp").select("u", F.col("key").alias("v")).where("u <> v")
+    near = simhash.links(leads.select("fp")).withColumnsRenamed({"u": "fp", "v": "other"}).distinct()
+    others = leads.select(F.col("fp").alias("other"), F.col("u").alias("v"))
+    return same.union(near.join(leads, "fp").join(others, "other").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
+def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """(u, v) between keys, enough of them to connect all similar pairs. texts: (key, t), prints: distinct (key, fp), both written tables."""
     spark = texts.sparkSession
     top, of = SIMILAR
     fits = (F.col("u_size") * of >= F.col("v_size") * top) & (F.col("v_size") * of >= F.col("u_size") * top)
@@ -178,7 +196,8 @@ def links(texts: DataFrame) -> DataFrame:
     met = met.where(F.col("next").isNotNull() | (F.col("key") != F.col("least.key")))
     pivot = [F.col(f"least.{c}").alias(name) for c, name in (("key", "u"), ("size", "u_size"), ("at", "u_at"))]
     met = written(met.select("shingle", *pivot, *as_side("v", "key", "size", "at")), "copies-met", used[0])
-    stars = written(verified(met.where(fits & (F.col("u") != F.col("v"))).select("u", "v").distinct(), texts), "copies-links")
+    star = met.where(fits & (F.col("u") != F.col("v"))).select("u", "v")
+    stars = written(verified(simhash_candidates(prints).union(star).distinct(), texts), "copies-links")
     labels = connected_components(stars)
     placed = met.select("shingle", F.col("v").alias("key"), F.col("v_size").alias("size"), F.col("v_at").alias("at"))
     placed = placed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -196,8 +215,8 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """One row of each group: that with the smallest id (null ids last, then any one of equal ids)."""
     tagged = written(with_keys(docs, text), "copies-docs")
     order = F.struct(F.col(id_col).cast("long").isNull().alias("absent"), F.col(id_col).cast("long").alias("id"), F.col("__uid").alias("uid"))
-    firsts = written(tagged.select(F.col("__key").alias("key"), order.alias("first")).groupBy("key").agg(F.min("first").alias("first")), "copies-firsts")
-    labels = connected_components(links(tagged.select(F.col("__key").alias("key"), F.col(text).cast("string").alias("t"))))
+    firsts = written(tagged.select(F.col("__key").alias("key"), F.col("__fp").alias("fp"), order.alias("first")).groupBy("key").agg(F.min("first").alias("first"), F.min("fp").alias("fp")), "copies-firsts")
+    labels = connected_components(links(tagged.select(F.col("__key").alias("key"), F.col(text).cast("string").alias("t")), firsts.select("key", "fp")))
     placed = firsts.join(labels.withColumnRenamed("node", "key"), "key", "left")
     leads = written(placed.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("first").alias("lead")), "copies-leads")
     return tagged.join(leads.select(F.col("lead.uid").alias("__uid")), "__uid", "left_semi").select(*docs.columns)

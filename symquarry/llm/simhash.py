@@ -43,9 +43,16 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
         hashes = [digest(b"%b %b %b" % x, SEED) for x in zip(words, words[1:], words[2:])]
     else:
         hashes = [digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(width)))]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes) -> int:
+    """The signed word of the bits that are set in over half the hashes."""
+    import numpy as np
+
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        block = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 

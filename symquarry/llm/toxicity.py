@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ PER_CLASS = 4000
 FOLDS, HELD = 5, 0
 PARTS = 3
 BLOCK = 2 << 20  # bytes of text scored at once
+SLAB = 1 << 15  # words whose events are made at once
 LOCAL = 3
 CACHE = 100_000  # words whose evidence a worker remembers
 
@@ -70,13 +72,20 @@ def events(words: list[bytes]):
 
 
 class _Sums:
-    """Sorted keys with a value each; absent keys have 0."""
+    """Sorted keys with a value each; absent keys have 0. Without values every key counts one."""
 
-    def __init__(self, keys, values):
+    def __init__(self, keys, values=None):
         import numpy as np
 
-        self.keys, where = np.unique(keys, return_inverse=True)
-        self.values = np.bincount(where, weights=values, minlength=len(self.keys)).astype(np.float32)
+        if values is None:
+            keys = np.sort(keys)
+        else:
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        self.keys = keys[heads]
+        sums = np.diff(np.append(heads, len(keys))) if values is None else np.add.reduceat(values, heads) if len(heads) else values
+        self.values = sums.astype(np.float32)
 
     def __call__(self, keys):
         import numpy as np
@@ -96,27 +105,30 @@ class KneserNeyPair:
 
         self.top, pooled = [], []
         for c in counts:
-            words = list(c)
-            key, word = events(words) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            weight = np.fromiter(c.values(), float, len(words))[word]
-            seen = _Sums(key, weight)
+            words, seen = iter(c.items()), _Sums(np.zeros(0, np.uint64))
+            while some := list(islice(words, SLAB)):
+                key, word = events([w for w, _ in some])
+                new = _Sums(key, np.fromiter((n for _, n in some), float, len(some))[word])
+                seen = _Sums(np.concatenate([seen.keys, new.keys]), np.concatenate([seen.values, new.values]))
             context = seen.keys >> np.uint64(8)
-            self.top.append((seen, _Sums(context, seen.values), _Sums(context, np.ones(len(context)))))
+            self.top.append((seen, _Sums(context, seen.values), _Sums(context)))
             pooled.append(seen.keys)
         kinds = np.unique(np.concatenate(pooled))
         self.lower = []
         for order in range(CONTEXT - 1, -1, -1):  # bytes of context
             mask = np.uint64((1 << (8 * (order + 1))) - 1)
             # continuation counts: distinct longer events that end in this one
-            seen = _Sums(kinds & mask, np.ones(len(kinds)))
+            seen = _Sums(kinds & mask)
             context = seen.keys >> np.uint64(8)
-            self.lower.append((mask, seen, _Sums(context, seen.values), _Sums(context, np.ones(len(context)))))
+            self.lower.append((mask, seen, _Sums(context, seen.values), _Sums(context)))
             kinds = seen.keys
 
     def evidence(self, words: list[bytes]):
         """Toxic minus ordinary log-likelihood of each word."""
         import numpy as np
 
+        if len(words) > SLAB:
+            return np.concatenate([self.evidence(words[i : i + SLAB]) for i in range(0, len(words), SLAB)])
         if not words:
             return np.zeros(0)
         every, word = events(words)
@@ -231,8 +243,9 @@ def with_scores(docs: DataFrame, scorer: Scorer, text: str = "text", column: str
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = FOLDS, held: int = HELD) -> Scorer:
     rows, counts = labelled_sample(docs, labels, "toxic", folds, held, per_class)
-    texts = [t.encode() for t in rows["text"].to_pylist()]
-    return fit(rows["doc_id"].to_pylist(), texts, rows["y"].to_numpy(), counts)
+    ids, y, texts = rows["doc_id"].to_pylist(), rows["y"].to_numpy(), [t.as_py().encode() for t in rows["text"]]
+    del rows  # the texts are held once while models are made
+    return fit(ids, texts, y, counts)
 
 
 def op9_toxicity(spark, sf_dir):

@@ -141,6 +141,21 @@ def test_pipeline_drops_edited_copies(spark, documents, odd, none):
     assert corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
 
 
+def test_pipeline_finds_near_copies_by_simhash(spark, monkeypatch):
+    from symquarry.llm import near_copies
+
+    base = [f"w{i}" for i in range(3000)]
+    edited = {k: " ".join([*base[:-1], f"edit{k}"]) for k in range(1, 30)}
+    texts = edited | {k: " ".join(f"other{k}x{i}" for i in range(50)) for k in range(50, 60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {i: simhash.majority(near_copies.shingles(t.encode())) for i, t in texts.items()}
+    want = set(plain_components([(i, fp & (1 << 64) - 1) for i, fp in prints.items()]).values())
+    assert len(want) < len(texts) - 5
+    none = near_copies.prefixes(df.selectExpr("doc_id key", "text t").limit(0), np.zeros(1 << near_copies.SKETCH, np.int64))
+    monkeypatch.setattr(near_copies, "prefixes", lambda *_: none)  # only the fingerprints are left to find them
+    assert {r["doc_id"] for r in rows(near_copies.deduplicate(df))} == want
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 40)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in rows(components.connected_components(spark.createDataFrame(edges, "u long, v long")))}
@@ -529,6 +544,21 @@ def test_kneser_ney_probabilities_sum_to_one():
     assert e[0] > 0 > e[1] and abs(e[2]) < abs(e[0])
 
 
+def test_kneser_ney_memory_is_bounded_by_slabs():
+    import random
+    import tracemalloc
+
+    r = random.Random(1)
+    some = [bytes(r.choices(b"abcdefghijklmnopqrst", k=r.randint(3, 12))) for _ in range(200_000)]
+    pair = toxicity.KneserNeyPair((Counter(some[:30_000]), Counter(some[20_000:50_000])))
+    tracemalloc.start()
+    got = pair.evidence(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 123 MB when the events of all words are made at once
+    assert np.array_equal(got[-100:], pair.evidence(some[-100:]))
+
+
 def test_factorisation_identity():
     m = quality.FactorisationMachine()
     rng = np.random.default_rng(1)
