@@ -46,7 +46,7 @@ ORDERS = 3
 KEEP, MU = 8, 20.0
 HOT = 1_000_000
 BLOCK = 4 << 20  # bytes of text read at once
-SLAB = 2 << 20  # tokens counted at once
+SLAB = 1 << 19  # tokens counted at once: a worker holds some twenty arrays of so many
 FILTER = 20  # a filter has 2 ** FILTER words of 64 bits
 
 

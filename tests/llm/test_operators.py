@@ -688,6 +688,13 @@ def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch, hot):
         assert math.isclose(got[i]["score"], w, rel_tol=1e-9)
 
 
+def test_suffix_tree_slabs_are_small():
+    import pyarrow as pa
+
+    sizes = [int(n.sum()) for _, _, _, n in suffix_tree.slabs(pa.array([bytes(8_000)] * 3_000))]
+    assert sum(sizes) == 3_000_000 and max(sizes) * 8 * 20 < 100e6  # bytes of twenty arrays
+
+
 def test_suffix_tree_on_odd_rows(odd, none):
     model = suffix_tree.fit(odd)
     got = rows(suffix_tree.score(odd, model))
