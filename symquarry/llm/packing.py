@@ -36,8 +36,10 @@ GRAIN, GROUP = 512, 8192
 END = 2
 CACHE = 700_000
 BLOCK = 4 << 20
-#: A lower-cased word that ends in an ASCII letter or digit or a Latin-1 letter, and the signs after it.
-WORD_AND_SIGNS = re.compile(rb"^(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?%$#*&|()]+)$", re.S)
+SIGNS = b".,;:!?%$#*&|()"
+#: What ends in an ASCII letter or digit or a Latin-1 letter; what has only letters of these.
+WORD = re.compile(rb".*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", re.S)
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 VOCABULARY = "word_bpe_49k.json"
 
 PIECE = "doc_id long, start long, length long, loss long, ids_crc32 long, doc_tokens long"
@@ -55,18 +57,38 @@ class ChunkEncoder:
     The vocabulary folds case, so chunks are remembered in lower case. New chunks are encoded many at a time,
     joined by the vocabulary's own end mark, whose id then cuts the ids apart; a text that contains the start of
     such a mark is encoded as it stands.
+
+    A chunk of ASCII or Latin-1 letters alone is one word to the vocabulary, already in normal form. Its ids come from the
+    vocabulary's merges without normalizer and pattern, which take most of the time; the last id of a word, and no other, has
+    the suffix of a word's end.
     """
 
     MARK, MARK_ID, OPENING = " <|endoftext|> ", 49407, b"<|"
     JOINED = 256
+    SUFFIX = "</w>"
 
     def __init__(self, path: str, cache: int = CACHE):
+        import json
         import os
+        from pathlib import Path
+
+        import numpy as np
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        parts = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.merges = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        vocabulary = parts["model"]["vocab"]
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(self.SUFFIX)]] = True
+        # the vocabulary writes bytes as signs: printable ones as themselves, the others as those from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.signs = np.arange(256, dtype="<u2")
+        self.signs[[b for b in range(256) if b not in printable]] = 256 + np.arange(256 - len(printable))
+        self.signs[32] = 32  # between words
+        self.signs[0x80:0x9F] = self.signs[0xA0:0xBF]  # second bytes of Latin-1 letters, in lower case
         self.known: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -94,12 +116,27 @@ class ChunkEncoder:
 
     def learn(self, chunks: set[bytes]) -> None:
         """A letter or digit and the signs after it are always encoded apart, so words with signs behind them need no encoding of their own."""
-        split = {c: m.groups() for c in chunks if (m := WORD_AND_SIGNS.match(c))}
-        plain = chunks.difference(split).union(x for pair in split.values() for x in pair)
-        self.encode(list(plain.difference(self.known)))
+        split = {c: (word, c[len(word) :]) for c in chunks if len(word := c.rstrip(SIGNS)) < len(c) and WORD.fullmatch(word)}
+        plain = chunks.difference(split).union(x for pair in split.values() for x in pair).difference(self.known)
+        words = [c for c in plain if c.isalpha() or LETTERS.fullmatch(c)]
+        self.encode_words(words)
+        self.encode(list(plain.difference(words)))
         known = self.known
         known.update((c, known[word] + known[signs]) for c, (word, signs) in split.items())
 
+    def encode_words(self, words: list[bytes]) -> None:
+        """Chunks that LETTERS matches."""
+        import numpy as np
+
+        parts = [words[i : i + self.JOINED] for i in range(0, len(words), self.JOINED)]
+        texts = [self.signs[np.frombuffer(b" ".join(part), np.uint8)].tobytes().decode("utf-16-le") for part in parts]
+        for part, e in zip(parts, self.merges.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(part, (4 * np.flatnonzero(self.closes[ids]) + 4).tolist(), strict=True):
+                self.known[word] = raw[at:end]
+                at = end
+
     def encode(self, chunks: list[bytes]) -> None:
         import numpy as np
 
