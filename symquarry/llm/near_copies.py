@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import DIGESTS, drop_path, new_path, written
+from .common import DIGESTS, drop_path, new_path, release, written
 from .components import connected_components
 
 WIDTH, SIMILAR = 5, (4, 5)  # similarity as a fraction, so that sizes are exact
@@ -106,6 +106,8 @@ def bucket_counts(texts: DataFrame):
     found = texts.select("key", "t").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SKETCH, np.int64)
     counts[found["at"].to_numpy()] = found["n"].to_numpy()
+    del found
+    release()
     return counts
 
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 TOKENS, SEGMENTS, LOSS = 4096, 256, 4096
 GRAIN, GROUP = 512, 8192
@@ -171,6 +171,7 @@ def pieces(docs: DataFrame, path: str, step: int = TOKENS, grain: int = GRAIN, t
 
         import pyarrow as pa
 
+        forget()
         encode = _encoders.get(path) or _encoders.setdefault(path, ChunkEncoder(path))
         end = struct.pack("<I", END)
         for b in batches:

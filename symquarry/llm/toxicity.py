@@ -30,7 +30,7 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, forget, release, table
 from .labelled import class_weights, labelled_sample, logistic
 
 CONTEXT = 6  # 7 at most: context and symbol share 8 bytes
@@ -234,6 +234,7 @@ def with_scores(docs: DataFrame, scorer: Scorer, text: str = "text", column: str
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget()
         for b in batches:
             texts = [t or b"" for t in b.column(where).cast(pa.string()).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.value(texts), pa.float64())], [*b.schema.names, column])
@@ -245,7 +246,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds:
     rows, counts = labelled_sample(docs, labels, "toxic", folds, held, per_class)
     ids, y, texts = rows["doc_id"].to_pylist(), rows["y"].to_numpy(), [t.as_py().encode() for t in rows["text"]]
     del rows  # the texts are held once while models are made
-    return fit(ids, texts, y, counts)
+    scorer = fit(ids, texts, y, counts)
+    del texts
+    release()
+    return scorer
 
 
 def op9_toxicity(spark, sf_dir):

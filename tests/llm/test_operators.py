@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from symquarry.llm import components, decontamination, packing, quality, search, secret_scan, sharding, simhash, suffix_tree, toxicity, warc
+from symquarry.llm import common, components, decontamination, packing, quality, search, secret_scan, sharding, simhash, suffix_tree, toxicity, warc
 from symquarry.llm.common import new_path
 
 
@@ -141,6 +141,25 @@ def test_pipeline_drops_edited_copies(spark, documents, odd, none):
     assert corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
 
 
+def test_training_gives_memory_back(spark, tmp_path):
+    """What fitting used for a while is not held by the driver's Python through the later stages."""
+
+    def used() -> float:
+        return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith(("Pss_Anon", "Pss_Shmem"))) / 1024
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.train(docs, labels)
+    held = used()
+    common.release()
+    assert scorer.pair is not None and held - used() < 10
+
+
+def test_workers_forget_what_other_stages_remembered():
+    common.DIGESTS[b"word"]
+    common.forget()
+    assert not common.DIGESTS
+
+
 def test_pipeline_finds_near_copies_by_simhash(spark, monkeypatch):
     from symquarry.llm import near_copies
 
