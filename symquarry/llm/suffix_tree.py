@@ -47,6 +47,7 @@ KEEP, MU = 8, 20.0
 HOT = 1_000_000
 BLOCK = 4 << 20  # bytes of text read at once
 SLAB = 1 << 19  # tokens counted at once: a worker holds some twenty arrays of so many
+MERGED = 1 << 21  # rows of counts that a task gathers from its slabs before it passes them on
 FILTER = 20  # a filter has 2 ** FILTER words of 64 bits
 
 
@@ -154,15 +155,38 @@ def _batch(columns, names):
     return pa.RecordBatch.from_arrays([pa.array(c.view("int64") if c.dtype.kind == "u" else c) for c in columns], names)
 
 
+def merged(counts: Iterator[tuple]) -> Iterator[tuple]:
+    """(keys, n) of slabs, summed by key over MERGED rows at a time, so that a key leaves a task about once and not from each slab."""
+    import numpy as np
+
+    held, size = [], 0
+
+    def summed():
+        keys, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")  # slabs are sorted: their runs are merged
+        keys, n = keys[order], n[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[heads], np.add.reduceat(n, heads)
+
+    for keys, n in counts:
+        if len(keys):
+            held.append((keys, n))
+            size += len(keys)
+        if size >= MERGED:
+            yield summed() if len(held) > 1 else held[0]
+            held, size = [], 0
+    if held:
+        yield summed() if len(held) > 1 else held[0]
+
+
 def word_counts(tokens: DataFrame) -> DataFrame:
     """(gram, n) of all words and the end."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
-        for b in batches:
-            for _, _, h, _ in slabs(b.column(0)):
-                yield _batch(np.unique(h, return_counts=True), ["gram", "n"])
+        for counts in merged(np.unique(h, return_counts=True) for b in batches for _, _, h, _ in slabs(b.column(0))):
+            yield _batch(counts, ["gram", "n"])
 
     return tokens.select("h").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -173,16 +197,20 @@ def gram_counts(tokens: DataFrame, order: int, shorter) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
-        for b in batches:
-            for _, _, h, _ in slabs(b.column(0)):
-                found = grams(h, order + 1)
-                (tail, whole), (g, valid) = found[-2:]
-                good = may_hold(shorter.value, tail)
-                # the first context is the end, which every text holds
-                head = shifted(good & whole, True)
-                if order == 1:
-                    head |= shifted(h, end_hash()) == end_hash()
-                yield _batch(np.unique(g[good & valid & head], return_counts=True), ["gram", "n"])
+        def counts():
+            for b in batches:
+                for _, _, h, _ in slabs(b.column(0)):
+                    found = grams(h, order + 1)
+                    (tail, whole), (g, valid) = found[-2:]
+                    good = may_hold(shorter.value, tail)
+                    # the first context is the end, which every text holds
+                    head = shifted(good & whole, True)
+                    if order == 1:
+                        head |= shifted(h, end_hash()) == end_hash()
+                    yield np.unique(g[good & valid & head], return_counts=True)
+
+        for found in merged(counts()):
+            yield _batch(found, ["gram", "n"])
 
     return tokens.select("h").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= KEEP)
 

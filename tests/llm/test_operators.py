@@ -721,6 +721,16 @@ def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch, hot):
         assert math.isclose(got[i]["score"], w, rel_tol=1e-9)
 
 
+def test_suffix_tree_counts_leave_a_task_once(monkeypatch):
+    """The slabs of a task share most keys; their counts are summed before the shuffle, and a bounded number is held."""
+    slab = np.unique(np.array([3, 1, 3, 7], np.uint64), return_counts=True)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    (keys, n), = suffix_tree.merged(iter([slab, none, slab, (np.array([2, 7], np.uint64), np.array([5, 1]))]))
+    assert keys.tolist() == [1, 2, 3, 7] and n.tolist() == [2, 5, 4, 3] and not list(suffix_tree.merged(iter([none])))
+    monkeypatch.setattr(suffix_tree, "MERGED", 6)
+    assert [n.tolist() for _, n in suffix_tree.merged(iter([slab] * 3))] == [[2, 4, 2], [1, 2, 1]]
+
+
 def test_suffix_tree_slabs_are_small():
     import pyarrow as pa
 
